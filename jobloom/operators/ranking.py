@@ -28,7 +28,7 @@ def top_per_group(
     name = rank or "__rank"
     window = Window.partitionBy(*keys).orderBy(*order)
     out = df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= n)
-    return out if rank else out.drop(name)
+    return out.withColumn(name, F.col(name).cast("bigint")) if rank else out.drop(name)
 
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from jobloom.operators.ranking import first_per_group
 
 
+def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add an expensive value, computed once per row; rows where it is null are left out.
+
+    A filter on a plain column would be pushed below it and compute the value again.
+    """
+    return df.withColumn(name, F.explode(F.array_compact(F.array(value))))
+
+
 def describe(
     df: DataFrame, lookup: DataFrame, code: str, description: str, name: str
 ) -> DataFrame:

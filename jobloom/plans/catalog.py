@@ -3,6 +3,8 @@
 from jobloom.plans import (  # noqa: F401
     class_scores,
     codes_and_text,
+    sampling,
+    titles,
 )
 from jobloom.plans.registry import REGISTRY
 
