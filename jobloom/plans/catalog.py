@@ -5,6 +5,7 @@ from jobloom.plans import (  # noqa: F401
     codes_and_text,
     sampling,
     titles,
+    vectors,
 )
 from jobloom.plans.registry import REGISTRY
 

@@ -387,7 +387,7 @@ def frequent(spark: SparkSession, sf: str) -> DataFrame:
     return tables.frequent_classes(raw, "major", 80)
 
 
-SUPPORT = ((600, 100), (15, 5), (300, 50), (8, 3))
+SUPPORT = ((590, 100), (17, 5), (280, 50), (17, 5))
 
 
 def _support_sql() -> str:
