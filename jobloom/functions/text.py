@@ -22,6 +22,11 @@ CHUNK_WORDS = 300
 ELLIPSIS = "…"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with the value computed once, also where `body` uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
@@ -51,9 +56,12 @@ def truncate(text: Column, limit: int) -> Column:
 
 def word_chunks(text: Column, size: int = CHUNK_WORDS) -> Column:
     """Array of consecutive runs of `size` space-separated words."""
-    words = F.split(text, " ")
-    starts = F.sequence(F.lit(1), F.size(words), F.lit(size))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))
+
+    def chunks(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(words), F.lit(size))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))
+
+    return let(F.split(text, " "), chunks)
 
 
 def word_tokens(text: Column) -> Column:
@@ -73,12 +81,14 @@ def ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:
     """All runs of `low` to `high` tokens, joined by a space."""
     empty = F.array().cast("array<string>")
 
-    def of_size(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-        runs = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-        return F.when(F.size(tokens) >= n, runs).otherwise(empty)
+    def of_size(words: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
+        runs = F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) >= n, runs).otherwise(empty)
 
-    return F.flatten(F.array(*[of_size(n) for n in range(low, high + 1)]))
+    return let(
+        tokens, lambda words: F.flatten(F.array(*[of_size(words, n) for n in range(low, high + 1)]))
+    )
 
 
 def sentences(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from jobloom.functions.text import let
+
 # Fixed value: vectors shorter than this are left as they are.
 TINY_NORM = 1e-7
 
@@ -26,8 +28,10 @@ def norm(v: Column) -> Column:
 
 def normalized(v: Column) -> Column:
     """Unit vector, or the vector itself when it is (almost) zero."""
-    size = norm(v)
-    return F.when(size > TINY_NORM, F.transform(v, lambda x: x / size)).otherwise(v)
+    return let(
+        norm(v),
+        lambda size: F.when(size > TINY_NORM, F.transform(v, lambda x: x / size)).otherwise(v),
+    )
 
 
 def as_doubles(v: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.functions.text import SEGMENT_BREAK, trimmed
+from jobloom.functions.text import SEGMENT_BREAK, let, trimmed
 from jobloom.operators.ranking import first_per_group, top_per_group
 
 Matcher = Callable[[DataFrame], DataFrame]
@@ -201,19 +201,23 @@ def fuzzy_matcher(
 
 
 def common_subsequence(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two word arrays."""
-    zeros = F.array_repeat(F.lit(0), F.size(b) + 1)
+    """Length of the longest common subsequence of two word arrays, row by row of its table."""
 
-    def row(prev: Column, word: Column) -> Column:
-        def cell(cur: Column, j: Column) -> Column:
-            hit = F.element_at(prev, j) + 1
-            miss = F.greatest(F.element_at(prev, j + 1), F.element_at(cur, -1))
-            return F.array_append(cur, F.when(F.element_at(b, j) == word, hit).otherwise(miss))
+    def length(other: Column) -> Column:
+        zeros = F.array_repeat(F.lit(0), F.size(other) + 1)
 
-        return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), cell)
+        def row(prev: Column, word: Column) -> Column:
+            def cell(cur: Column, j: Column) -> Column:
+                hit = F.element_at(prev, j) + 1
+                miss = F.greatest(F.element_at(prev, j + 1), F.element_at(cur, -1))
+                same = F.element_at(other, j) == word
+                return F.array_append(cur, F.when(same, hit).otherwise(miss))
 
-    length = F.element_at(F.aggregate(a, zeros, row), -1)
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), length).otherwise(0)
+            return F.aggregate(F.sequence(F.lit(1), F.size(other)), F.array(F.lit(0)), cell)
+
+        return F.element_at(F.aggregate(a, zeros, row), -1)
+
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), let(b, length)).otherwise(0)
 
 
 def subsequence_distance(a: Column, b: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobloom.functions.text import let
 from jobloom.session import cut_lineage
 
 # Vocabulary defaults and the mark of a word start.
@@ -16,21 +17,30 @@ WORD_START = "▁"
 def _next_merges(rows: list, room: int) -> list:
     """The leading pairs that can be merged together without changing any later choice.
 
-    Merging (a, b) only changes pairs that touch a or b, and no new pair outnumbers the pair it
-    comes from. So pairs are taken in order until one touches a pair already taken; those tied with
+    Merging (a, b) only changes pairs that end in a or start with b, and no new pair outnumbers the
+    pair it comes from. So pairs are taken in order until one of those comes up; pairs tied with
     that count wait for the next round.
     """
-    taken, touched = [rows[0]], {rows[0]["a"], rows[0]["b"]}
+    taken = [rows[0]]
     limit = rows[-1]["n"]
     for row in rows[1:]:
-        if row["a"] in touched or row["b"] in touched:
+        if any(row["b"] == t["a"] or row["a"] == t["b"] for t in taken):
             limit = row["n"]
             break
         taken.append(row)
-        touched |= {row["a"], row["b"]}
     return [taken[0], *[r for r in taken[1:] if r["n"] > limit]][:room]
 
 
+def _pairs(parts: Column) -> Column:
+    """Neighbouring pieces of one word."""
+    last = F.greatest(F.size(parts) - 1, F.lit(0))
+    return F.zip_with(
+        F.slice(parts, 1, last),
+        F.slice(parts, 2, last),
+        lambda a, b: F.struct(a.alias("a"), b.alias("b")),
+    )
+
+
 def learn_pieces(
     words: DataFrame,
     word: str = "word",
@@ -55,15 +65,8 @@ def learn_pieces(
     learned: list[tuple] = []
     rounds = 0
     while len(learned) < merges:
-        parts = F.split(F.trim("s"), "  ")
-        steps = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)).otherwise(
-            F.array().cast("array<int>")
-        )
-        pairs = F.transform(
-            steps, lambda i: F.struct(F.element_at(parts, i).alias("a"), F.element_at(parts, i + 1).alias("b"))
-        )
         best = (
-            table.select(F.explode(pairs).alias("p"), "n")
+            table.select(F.explode(let(F.split(F.trim("s"), "  "), _pairs)).alias("p"), "n")
             .groupBy("p.a", "p.b")
             .agg(F.sum("n").alias("n"))
             .where(F.col("n") >= min_count)

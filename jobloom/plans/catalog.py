@@ -3,7 +3,10 @@
 from jobloom.plans import (  # noqa: F401
     class_scores,
     codes_and_text,
+    models,
     sampling,
+    streams,
+    tasks_and_wages,
     titles,
     vectors,
 )

@@ -312,10 +312,10 @@ def nearest_to_one(spark: SparkSession, sf: str) -> DataFrame:
     "j17_neighbor_class",
     sql="""
     with n as (select *, row_number() over (partition by i order by round(sim, 9) desc, j) as rn from v_sims),
-         v as (select i, label_j as label, count(*) as votes, max(round(sim, 9)) as similarity
+         v as (select i, label_j as label, count(*) as votes, max(sim) as similarity
                from n where rn <= 3 group by 1, 2)
     select i as query_id, label, votes, round(similarity, 6) as similarity from (
-      select *, row_number() over (partition by i order by votes desc, similarity desc, label) as k from v) x
+      select *, row_number() over (partition by i order by votes desc, round(similarity, 9) desc, label) as k from v) x
     where k = 1""",
 )
 def neighbor_class(spark: SparkSession, sf: str) -> DataFrame:
