@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobloom.functions.text import Tokenizer, long_word_tokens, ngrams
@@ -53,16 +53,19 @@ def tfidf(
 
     Terms in fewer than `min_df` documents or in more than the share `max_df` are left out.
     """
+    # Reading tf keeps this branch equal to the other one, so the counts are shuffled only once.
+    present = F.count(F.when(F.col("tf") > 0, 1))
     frequency = (
         counts.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
+        .agg(present.alias("df"))
         .where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     )
     weighted = counts.join(frequency, "term").withColumn(
         "w", F.col("tf") * (F.ln((1 + n_docs) / (1 + F.col("df"))) + 1)
     )
-    norms = weighted.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, doc).select(doc, "term", (F.col("w") / F.col("norm")).alias("tfidf"))
+    # A window over one document holds at most that document's vocabulary.
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
+    return weighted.select(doc, "term", (F.col("w") / norm).alias("tfidf"))
 
 
 def vocabulary(words: DataFrame, word: str = "word", min_count: int = 1) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from jobloom.functions.text import sentences as sentence_array
 from jobloom.operators.ranking import first_per_group
 from jobloom.operators.tables import unambiguous_titles
+from jobloom.session import spread
 
 VIEWS: dict[str, str] = {
     "v_title_raw": """
@@ -142,8 +143,13 @@ def with_views(sql: str) -> str:
     return f"with {ctes}\n{body}"
 
 
+# Tables whose rows get heavy work, and the key to deal them by where the scan has too few splits.
+HEAVY = {"documents": "doc_id", "orders": "o_orderkey", "lineitem": "l_orderkey"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
+    return spread(df, HEAVY[name]) if name in HEAVY else df
 
 
 def title_raw(spark: SparkSession, sf: str) -> DataFrame:

@@ -98,7 +98,7 @@ def wage_outputs(spark: SparkSession, sf: str):
         F.col("c_custkey").alias("occ"), F.col("c_acctbal").alias("wage")
     )
     features = [f"c_{c}" for c in names]
-    return models.wage_regression(wide.join(wages, "occ"), features, "wage", "occ", [5.0, 50.0])
+    return models.wage_regression(wide.join(wages, "occ"), features, "wage", "occ", [5.0, 50.0], threshold=-1.0)
 
 
 @query("ml14_wage_regression_scores")

@@ -47,6 +47,16 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/jobloom/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal the rows of a small scan over all cores before heavy work per row.
+
+    A file with one row group is one task, whatever it holds. Inputs that already come in as many
+    splits as there are cores, as any large one does, are returned unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise `df` in reliable storage, so iterations survive lost executors."""
     checkpoint_dir(df.sparkSession)
