@@ -99,13 +99,24 @@ def _pieces(text: Column, parts: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), piece)
 
 
+def _places(part: Column, start: Column, shift: Column, max_edits: int) -> Column:
+    """Where piece `part` of a partner may sit in a title that is `shift` characters longer.
+
+    Counted from the left, the pieces before it took at most `part` edits; counted from the right,
+    those behind it took at most `max_edits - part`. Some unchanged piece satisfies both.
+    """
+    low = F.greatest(start - part, start + shift - (max_edits - part))
+    high = F.least(start + part, start + shift + (max_edits - part))
+    return F.when(low <= high, F.sequence(low, high))
+
+
 def fuzzy_matcher(
     lookup: DataFrame, max_edits: int = 2, order: str = "ord", exclude_equal: bool = False
 ) -> Matcher:
     """Closest lookup title within `max_edits` edits; ties by lookup order.
 
     A lookup title cut into `max_edits + 1` pieces must show one of them unchanged in any title
-    that near, moved by at most `max_edits` places. Joining on (length, part, piece) therefore
+    that near, moved by a few places. Joining on (length, part, piece) therefore
     finds every partner without comparing all titles; the edit distance is checked inside the join.
     """
     parts = max_edits + 1
@@ -158,9 +169,9 @@ def fuzzy_matcher(
                 "__len",
                 "part",
                 "__width",
-                F.explode(
-                    F.sequence(F.col("__start") - max_edits, F.col("__start") + max_edits)
-                ).alias("__at"),
+                F.explode(_places(F.col("part"), F.col("__start"), F.length("title") - F.col("__len"), max_edits)).alias(
+                    "__at"
+                ),
             )
             .where(
                 (F.col("__at") >= 1) & (F.col("__at") + F.col("__width") - 1 <= F.length("title"))
@@ -229,12 +240,19 @@ def subsequence_distance(a: Column, b: Column) -> Column:
 def rerank_titles(
     predicted: DataFrame, lookup: DataFrame, row_id: str, codes: str, n: int = 5, order: str = "ord"
 ) -> DataFrame:
-    """Among the lookup titles of each row's predicted codes, the `n` closest to its title."""
+    """Among the lookup titles of each row's predicted codes, the `n` closest to its title.
+
+    A title is compared once per code, however many rows carry it, and keeps its `n` best there;
+    the rows only merge those.
+    """
     wanted = predicted.select(row_id, "title", F.explode(codes).alias("code"))
     known = lookup.select("code", F.col("title").alias("candidate"), F.col(order).alias("__ord"))
-    scored = wanted.join(known, "code").withColumn(
-        "distance", subsequence_distance(F.split("candidate", " "), F.split("title", " "))
+    scored = (
+        wanted.select("title", "code")
+        .distinct()
+        .join(known, "code")
+        .withColumn("distance", subsequence_distance(F.split("candidate", " "), F.split("title", " ")))
     )
-    return top_per_group(
-        scored, [row_id], [F.col("distance"), F.col("__ord")], n, rank="rank"
-    ).drop("__ord")
+    by = [F.col("distance"), F.col("__ord")]
+    best = top_per_group(scored, ["title", "code"], by, n)
+    return top_per_group(wanted.join(best, ["title", "code"]), [row_id], by, n, rank="rank").drop("__ord")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.operators.ranking import first_per_group
+from jobloom.session import cut_lineage
 
 
 def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -91,20 +92,21 @@ def mutual_support(
 ) -> DataFrame:
     """Rows whose `a` and `b` support each other, filtered alternately by `a` and `b`.
 
-    The passes need only the counts per (a, b) pair, so they run on that much smaller table; the
-    rows themselves are filtered once, at the end.
+    The passes need only the counts per (a, b) pair, so they run on that much smaller table, where
+    every row of a key is another partner; the rows themselves are filtered once, at the end.
     """
-    pairs = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("__n"))
+    pairs = cut_lineage(df.groupBy(a, b).agg(F.count(F.lit(1)).alias("__n")))
     for i, (rows, partners) in enumerate(passes):
-        key, other = (a, b) if i % 2 == 0 else (b, a)
-        # A null partner is a distinct value of its own.
-        known = F.count_distinct(F.struct(other))
+        key = a if i % 2 == 0 else b
         kept = (
             pairs.groupBy(key)
-            .agg(F.sum("__n").alias("__rows"), known.alias("__partners"))
+            .agg(F.sum("__n").alias("__rows"), F.count(F.lit(1)).alias("__partners"))
             .where((F.col("__rows") > rows) & (F.col("__partners") > partners))
         )
         pairs = pairs.join(kept.select(key), key, "left_semi")
+        if i % 2:
+            # Each pass reads the one before twice.
+            pairs = cut_lineage(pairs)
     kept = pairs.select(F.col(a).alias("__a"), F.col(b).alias("__b"))
     same = [F.col(a) == F.col("__a"), F.col(b).eqNullSafe(F.col("__b"))]
     return df.join(kept, same, "left_semi")

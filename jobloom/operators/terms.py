@@ -31,8 +31,7 @@ def term_counts(
     """`(doc, term, tf)`; stop words leave before n-grams are formed."""
     words = tokenizer(F.lower(F.col(text)))
     if stop_words:
-        listed = F.array(*[F.lit(w) for w in stop_words])
-        words = F.filter(words, lambda w: ~F.array_contains(listed, w))
+        words = F.filter(words, lambda w: ~w.isin(*stop_words))
     tokens = docs.select(doc, words.alias("__w"))
     terms = F.col("__w") if (low, high) == (1, 1) else ngrams(F.col("__w"), low, high)
     return (

@@ -229,19 +229,20 @@ def reranked_titles(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "j8_url_join",
-    sql=r"""
-    with c as (select page_id, concat(regexp_extract(url, '^([^?#]*)', 1),
-                 case when regexp_extract(url, '#(.*)$', 1) <> ''
-                      then concat('#', regexp_extract(url, '#(.*)$', 1)) else '' end) as u from pages)
-    select a.page_id, b.page_id as other_id from c a left join c b on a.u = b.u and a.page_id <> b.page_id""",
+    sql="""
+    select c.c_custkey as company, p.post_id
+    from customer c left join v_posting_titles p
+      on p.url = concat('http://jobs.example.com/', cast(c.c_custkey as varchar))""",
 )
 def url_join(spark: SparkSession, sf: str) -> DataFrame:
-    pages = inputs.table(spark, sf, "pages").select(
-        "page_id", urls.canonical_url(F.col("url")).alias("u")
+    # Both lists carry other query values, which the canonical form drops.
+    listed = F.concat(F.lit("http://jobs.example.com/"), F.col("c_custkey").cast("string"), F.lit("?from=list"))
+    companies = inputs.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("company"), urls.canonical_url(listed).alias("url")
     )
-    others = pages.select(F.col("page_id").alias("other_id"), F.col("u").alias("v"))
-    same = (F.col("u") == F.col("v")) & (F.col("page_id") != F.col("other_id"))
-    return pages.join(others, same, "left").select("page_id", "other_id")
+    scraped = F.concat("url", F.lit("?utm=x&page=2"))
+    posts = inputs.posting_titles(spark, sf).select("post_id", urls.canonical_url(scraped).alias("url"))
+    return companies.join(posts, "url", "left").select("company", "post_id")
 
 
 @query(
