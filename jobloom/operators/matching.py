@@ -64,7 +64,9 @@ def layered_matcher(
         rest, matched = df, None
         for i, m in enumerate(matchers, 1):
             found = m(rest).withColumn(layer, F.lit(i))
-            matched = found if matched is None else matched.unionByName(found)
+            matched = (
+                found if matched is None else matched.unionByName(found, allowMissingColumns=True)
+            )
             if i < len(matchers):
                 rest = rest.join(found.select(row_id), row_id, "left_anti")
         return matched

@@ -176,15 +176,34 @@ def cluster_profile(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.cluster_profile(clusters.concentration(tasks, "cluster", "lang"), named, words, "cluster")
 
 
-@query("ud3_tokenizer")
+@query(
+    "ud3_tokenizer",
+    sql=r"""
+    with w as (select doc_id, unnest(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) as term
+               from documents),
+         c as (select doc_id, term, count(*) as tf from w group by 1, 2),
+         f as (select term, count(*) as df from c group by 1),
+         n as (select cast(count(*) as double) as n from documents),
+         x as (select c.doc_id, c.term, c.tf * (ln((1 + n) / (1 + df)) + 1) as v from c join f on f.term = c.term
+               cross join n where df >= 25 and df <= 0.4 * n)
+    select doc_id, term, round(v / sqrt(sum(v * v) over (partition by doc_id)), 6) as tfidf from x""",
+)
 def tokenizer(spark: SparkSession, sf: str) -> DataFrame:
     """Term weights with a tokenizer of the caller's own."""
     docs = inputs.table(spark, sf, "documents").select("doc_id", "text")
     counts = terms.term_counts(docs, "doc_id", "text", lambda c: text.space_tokens(c), stop_words=())
-    return terms.tfidf(counts, "doc_id", docs.agg(F.count(F.lit(1))).scalar(), min_df=25, max_df=0.4)
-
-
-@query("ud4_clusterer")
+    out = terms.tfidf(counts, "doc_id", docs.agg(F.count(F.lit(1))).scalar(), min_df=25, max_df=0.4)
+    return out.withColumn("tfidf", F.round("tfidf", 6))
+
+
+@query(
+    "ud4_clusterer",
+    sql="""
+    with a as (select k, list_position(embedding[1:k], list_max(embedding[1:k])) as cluster
+               from embeddings cross join (values (2), (4), (8)) s(k))
+    select k as clusters, 'used' as variable, cast(count(distinct cluster) as double) as value from a group by k
+    union all select k, 'items', cast(count(*) as double) from a group by k""",
+)
 def clusterer(spark: SparkSession, sf: str) -> DataFrame:
     """The sweep with a clusterer of the caller's own: the best-fitting of k fixed directions."""
 

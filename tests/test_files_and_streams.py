@@ -66,6 +66,15 @@ def test_job_records(spark, rows):
     assert rows(got) == [("http://x/p?jk=1", "cook many good meals daily", "Food", "Kitchen")]
 
 
+def test_coded_postings_need_a_code_and_a_text(spark, rows):
+    raw = spark.createDataFrame(
+        [(1, "11-1011.00", "Lead many good people here"), (2, " ", "Lead many good people here"), (3, "11-1011", "No")],
+        "id int, onet_soc_code string, description string",
+    )
+    got = readers.coded_postings(raw, cleaner(4)).select("id", "description")
+    assert rows(got) == [(1, "lead many good people here")]
+
+
 def posting(url, stamp, text):
     return json.dumps(
         {"url": url, "title": "t", "description": text, "company": "c", "scrapeTimestamp": stamp, "categories": ["a", "b"]}
