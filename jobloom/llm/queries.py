@@ -5,25 +5,67 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from jobloom.llm import decontaminate as contamination
-from jobloom.llm import sql
+from jobloom.llm import mixing, quality, secretscan, spotsigs, sql, toxicity
 
 Run = Callable[[SparkSession, str], DataFrame]
 
+# Target weights of the mix: domains are groups of sources, languages weigh by their labels.
+MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def with_domain(documents: DataFrame) -> DataFrame:
+    """Adds the domain of a source: its number modulo 4."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1)
+    return documents.withColumn("domain", F.when(number != "", F.concat(F.lit("d"), (number.cast("bigint") % 4).cast("string"))))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(with_domain(table(spark, sf_dir, "documents")), MIX_WEIGHTS)
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_candidates",
+        F.size("secrets").cast("bigint").alias("n_secrets"),
+        "secrets",
+        F.sha2("redacted", 256).alias("redacted_sha256"),
+    )
+
+
 QUERIES: dict[str, Run] = {
+    "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
+    "op5_quality": op5_quality,
+    "op7_spotsigs": op7_spotsigs,
+    "op9_mix": op9_mix,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": sql.DECONTAMINATE,
+    "op9_mix": sql.MIX,
 }

@@ -32,3 +32,54 @@ select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
        coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
        coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join covered using (doc_id) left join named using (doc_id)"""
+
+
+def _fill(name: str, nodes: str, level: str, parent: str) -> str:
+    """A level of the budget tree: `nodes` has parent columns, level, cap, weight and budget."""
+    over = f"partition by {parent}" if parent else ""
+    return rf"""
+{name}_rate as (
+  select *, (budget - coalesce(sum(cap) over ahead, 0)) / (sum(weight) over ({over}) - coalesce(sum(weight) over ahead, 0)) as r
+  from {nodes}
+  window ahead as ({over} order by cap / weight, {level} nulls first rows between unbounded preceding and 1 preceding)),
+{name} as (
+  select * exclude (r, budget, weight, cap), least(cap, cast(floor(weight * max(r) over ({over})) as bigint)) as share
+  from {name}_rate)"""
+
+
+MIX = rf"""
+with rows0 as (
+  select doc_id, lang, source,
+         case when regexp_matches(source, '[0-9]+$')
+              then 'd' || cast(cast(regexp_extract(source, '([0-9]+)$', 1) as bigint) % 4 as varchar) end as domain,
+         cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as n_tokens
+  from documents),
+leaves as (
+  select domain, lang, source, cast(sum(n_tokens) as bigint) as tokens, count(*) as n, cast(3 * sum(n_tokens) as bigint) as cap
+  from rows0 group by all),
+d0 as (
+  select domain, cast(sum(cap) as bigint) as cap, (select cast(sum(tokens) as bigint) * 50 // 100 from leaves) as budget,
+         coalesce(case domain when 'd0' then 4 when 'd1' then 3 when 'd2' then 2 end, 1) as weight
+  from leaves group by domain), {_fill("d1", "d0", "domain", "")},
+l0 as (
+  select l.domain, l.lang, cast(sum(cap) as bigint) as cap, any_value(d1.share) as budget,
+         coalesce(case l.lang when 'en' then 5 when 'de' then 2 when 'fr' then 2 end, 1) as weight
+  from leaves l join d1 on d1.domain is not distinct from l.domain group by l.domain, l.lang), {_fill("l1", "l0", "lang", "domain")},
+s0 as (
+  select l.domain, l.lang, l.source, l.cap, l1.share as budget, 1 as weight
+  from leaves l join l1 on l1.domain is not distinct from l.domain and l1.lang is not distinct from l.lang),
+{_fill("s1", "s0", "source", "domain, lang")},
+plan as (
+  select l.*, case when tokens > 0 then share // tokens else 0 end as epochs, share
+  from leaves l join s1 on s1.domain is not distinct from l.domain and s1.lang is not distinct from l.lang
+                       and s1.source is not distinct from l.source),
+placed as (
+  select r.*, p.epochs, p.share - p.epochs * p.tokens as rest,
+         md5('17:' || cast(p.epochs as varchar) || ':' || coalesce(cast(r.doc_id as varchar), '')) as place
+  from rows0 r join plan p on p.domain is not distinct from r.domain and p.lang is not distinct from r.lang
+                          and p.source is not distinct from r.source)
+select doc_id, domain, lang, source, n_tokens,
+       cast(epochs + case when sum(n_tokens) over (partition by domain, lang, source order by place, doc_id, n_tokens
+                                                   rows between unbounded preceding and current row) <= rest
+                          then 1 else 0 end as bigint) as copies
+from placed"""
