@@ -37,9 +37,10 @@ STANDS_FOR = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e",
 }
-SUBSTITUTE, DROP_REPEAT, DROP_MARK = 0.7, 2.2, 2.0  # channel costs, in nats
-HIDING = re.compile(r"[^\W\d_][^\w\s]*[013456789@$!|+(€][^\w\s]*[^\W\d_]|[@$!|013457(€][^\W\d_]{2}|[^\W\d_]{2}[013457@]$|(.)\1\1|\w[^\w\s]\w[^\w\s]\w")
-MARKS = re.compile(r"^\W+|(?:[^\w@$!|+(]|(?<=\W)\W)+$")
+SUBSTITUTE, DROP_REPEAT, DROP_SIGN, DROP_MARK = 0.7, 1.5, 25.0, 1.0  # channel costs, in nats
+# A letter and a sign that stands for one, a letter three times, or letters with marks in between.
+HIDING = re.compile(r"[^\W\d_].*[013456789@$!|+(€]|[013456789@$!|+(€].*[^\W\d_]|(.)\1\1|\w[^\w\s]\w[^\w\s]\w")
+MARKS = re.compile(r"^[^\w@$!|+(€]+|(?:[^\w@$|+(€]|([@$|+(€])\1{2,})+$")
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){3,}(?!\S)")
 
@@ -70,15 +71,16 @@ class CharModel:
 def decode(seen: str, model: CharModel) -> str:
     """The likeliest reading of a lower-case string: the Viterbi path through its lattice."""
     states: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
-    last = ""
-    for ch in seen:
+    for i, ch in enumerate(seen):
         if ch.isalpha():
             arcs = [(ch, 0.0)]
-            if ch == last:
+            # Doubled letters are ordinary; of three and more, all but one may go.
+            if i and seen[i - 1] == ch and (seen[i - 2 : i] == ch * 2 or seen[i + 1 : i + 2] == ch):
                 arcs.append(("", DROP_REPEAT))
+        elif ch in STANDS_FOR:
+            arcs = [(c, SUBSTITUTE) for c in STANDS_FOR[ch]] + [("", DROP_SIGN)]
         else:
-            arcs = [(c, SUBSTITUTE) for c in STANDS_FOR.get(ch, "")] + [("", DROP_MARK)]
-        last = ch
+            arcs = [("", DROP_MARK)]
         new: dict[str, tuple[float, tuple | None]] = {}
         for state, (cost, path) in states.items():
             for letter, price in arcs:
@@ -102,7 +104,7 @@ def readings(token: str, model: CharModel) -> list[str]:
     plain = EDGE.sub("", token)
     core = MARKS.sub("", token)
     out = [plain] if plain else []
-    if core and HIDING.search(core) and any(c.isalpha() for c in core):
+    if HIDING.search(core) and sum(map(str.isalpha, core)) >= 2:
         out.append(decode(core, model))
     return out
 
