@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm import decontaminate as contamination
-from jobloom.llm import mixing, quality, secretscan, spotsigs, sql, toxicity
+from jobloom.llm import jaccard_join, mixing, quality, secretscan, spotsigs, sql, toxicity
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_copy_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,6 +63,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Run] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
+    "op4_jaccard": op4_jaccard,
     "op5_quality": op5_quality,
     "op7_spotsigs": op7_spotsigs,
     "op9_mix": op9_mix,
@@ -67,5 +72,6 @@ QUERIES: dict[str, Run] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": sql.DECONTAMINATE,
+    "op4_jaccard": sql.JACCARD,
     "op9_mix": sql.MIX,
 }
