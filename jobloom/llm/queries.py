@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm import decontaminate as contamination
-from jobloom.llm import jaccard_join, mixing, quality, secretscan, spotsigs, sql, toxicity
+from jobloom.llm import jaccard_join, mixing, quality, secretscan, spotsigs, sql, suffix_dedup, toxicity
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,10 @@ def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(with_domain(table(spark, sf_dir, "documents")), MIX_WEIGHTS)
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Run] = {
     "op4_jaccard": op4_jaccard,
     "op5_quality": op5_quality,
     "op7_spotsigs": op7_spotsigs,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mix": op9_mix,
     "op10_secrets": op10_secrets,
 }
@@ -73,5 +78,6 @@ QUERIES: dict[str, Run] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": sql.DECONTAMINATE,
     "op4_jaccard": sql.JACCARD,
+    "op8_suffix_dedup": sql.SUFFIX_DEDUP,
     "op9_mix": sql.MIX,
 }

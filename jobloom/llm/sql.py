@@ -57,6 +57,32 @@ from d left join n using (doc_id)
 left join (select doc_id, min(other) as component_id from reach group by doc_id) c using (doc_id)"""
 
 
+SUFFIX_DEDUP = """
+with d as (
+  select doc_id, hex(encode(coalesce(text, ''))) as h, cast(octet_length(encode(coalesce(text, ''))) as bigint) as n
+  from documents),
+w as (
+  select doc_id, p, substr(h, 2 * p + 1, 200) as s
+  from (select doc_id, h, unnest(range(0, n - 99)) as p from d where n >= 100) a),
+again as (
+  select doc_id, p from (select doc_id, p, row_number() over (partition by s order by doc_id, p) as rn from w) a where rn > 1),
+gone as (
+  select doc_id, min(p) as a, max(p) + 100 as b
+  from (select *, sum(case when p <= before + 100 then 0 else 1 end) over (partition by doc_id order by p) as g
+        from (select *, lag(p) over (partition by doc_id order by p) as before from again) x) y
+  group by doc_id, g),
+sizes as (select doc_id, count(*) as n_spans, sum(b - a) as n_removed from gone group by doc_id),
+pieces as (
+  select doc_id, lag(b, 1, 0) over (partition by doc_id order by a) as s, a as e from gone
+  union all select doc_id, max(b), null from gone group by doc_id),
+kept as (
+  select p.doc_id, string_agg(substr(h, cast(2 * s + 1 as bigint), cast(2 * (coalesce(e, n) - s) as bigint)), '' order by s) as h
+  from pieces p join d using (doc_id) group by p.doc_id)
+select d.doc_id, d.n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+       sha256(unhex(coalesce(kept.h, d.h))) as kept_sha256
+from d left join sizes using (doc_id) left join kept using (doc_id)"""
+
+
 def _fill(name: str, nodes: str, level: str, parent: str) -> str:
     """A level of the budget tree: `nodes` has parent columns, level, cap, weight and budget."""
     over = f"partition by {parent}" if parent else ""
