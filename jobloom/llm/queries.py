@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm import decontaminate as contamination
-from jobloom.llm import jaccard_join, mixing, quality, secretscan, spotsigs, sql, suffix_dedup, toxicity
+from jobloom.llm import jaccard_join, mixing, ppm, quality, secretscan, spotsigs, sql, suffix_dedup, toxicity
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Run] = {
     "op2_decontaminate": op2_decontaminate,
     "op4_jaccard": op4_jaccard,
     "op5_quality": op5_quality,
+    "op6_ppm": op6_ppm,
     "op7_spotsigs": op7_spotsigs,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mix": op9_mix,
