@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm import decontaminate as contamination
-from jobloom.llm import jaccard_join, mixing, ppm, quality, secretscan, spotsigs, sql, suffix_dedup, toxicity
+from jobloom.llm import jaccard_join, mixing, ppm, quality, secretscan, spotsigs, sql, suffix_dedup, toxicity, urlfilter
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_copy_classes(table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan(table(spark, sf_dir, "documents")).select(
-        "doc_id",
+        "kept.doc_id",
         "n_candidates",
         F.size("secrets").cast("bigint").alias("n_secrets"),
         "secrets",
@@ -71,6 +75,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Run] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
+    "op3_url_filter": op3_url_filter,
     "op4_jaccard": op4_jaccard,
     "op5_quality": op5_quality,
     "op6_ppm": op6_ppm,

@@ -100,10 +100,7 @@ def with_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def scan(documents: DataFrame) -> DataFrame:
-    """Per row of (doc_id, text, ...): adds n_candidates, secrets (sorted array) and redacted (text without them).
-
-    Columns that already have these names are replaced.
-    """
+    """Per row of (doc_id, text, ...): the row itself as struct `kept`, n_candidates, secrets (sorted array) and redacted (text without them)."""
     spark = documents.sparkSession
     text = F.col("text").cast("string")
     found = (
@@ -130,14 +127,13 @@ def scan(documents: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.when(F.col("secret"), F.col("value")))).alias("secrets"),
         F.count(F.lit(1)).alias("n_candidates"),
     ).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    kept = documents.drop("n_candidates", "secrets", "redacted", "_text_hash", "_id", "_hash")
-    rows = kept.withColumn("_text_hash", F.xxhash64(text))
-    joined = rows.join(per_text, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    rows = documents.select(F.struct("*").alias("kept"), "doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    joined = rows.join(per_text, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     secrets = F.coalesce(F.col("secrets"), F.array().cast("array<string>"))
     longest_first = F.reverse(F.array_sort(F.transform(secrets, lambda s: F.struct(F.length(s).alias("n"), s.alias("s")))))
     return joined.select(
-        *[F.col(f"`{c}`") for c in kept.columns],
+        "kept",
         F.coalesce("n_candidates", F.lit(0)).cast("bigint").alias("n_candidates"),
         secrets.alias("secrets"),
-        F.aggregate(longest_first, text, lambda out, s: F.replace(out, s["s"], F.lit(REDACTED))).alias("redacted"),
+        F.aggregate(longest_first, F.col("text"), lambda out, s: F.replace(out, s["s"], F.lit(REDACTED))).alias("redacted"),
     )

@@ -226,7 +226,7 @@ def train(documents: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1
     tried = score(sample.filter(~teaches), model, ["label"]).collect()
     if tried:
         found = np.array([r["odds"] for r in tried])
-        model.slope, model.offset = calibrate(found, np.array([float(r["label"]) for r in tried]), model.slope, model.offset)
+        model.slope, model.offset = calibrate(found, np.array([float(r["kept"]["label"]) for r in tried]), model.slope, model.offset)
     return model
 
 
@@ -242,12 +242,12 @@ def _has_spaced(chunk: bt.Chunk) -> np.ndarray:
 
 
 def score(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns in `keep` plus `odds` (of the most telling word) and `score` for every row, from its whole text."""
+    """(kept, odds, score) of every row, from its whole text: the columns in `keep` as a struct, and the odds of the most telling word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(model)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(1)
             odds_of, out = np.zeros(len(texts)), np.zeros(len(texts))
             for c in bt.chunks(texts):
                 spaced = _has_spaced(c)
@@ -257,16 +257,15 @@ def score(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                     if spaced[i]:
                         odds = max(odds, model.spaced_score(text))
                     odds_of[c.lo + i], out[c.lo + i] = odds, model.score(odds)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(odds_of), pa.array(out)], names=[*keep, "odds", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(odds_of), pa.array(out)], names=["kept", "odds", "score"])
 
-    kinds = dict(documents.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", odds double, score double"
-    return documents.select(*keep, F.col("text").cast("string").alias("_scored_text")).mapInArrow(run, schema)
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"kept {dict(rows.dtypes)['kept']}, odds double, score double")
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
-    scored = score(documents, train(documents, labels), ["doc_id"])
+    scored = score(documents, train(documents, labels), ["doc_id"]).select("kept.doc_id", "score")
     return scored.select(
         "doc_id",
         held_out(F.col("doc_id"), 3, 1).alias("held_out"),
