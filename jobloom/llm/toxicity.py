@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -190,10 +189,10 @@ def train(documents: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1
     Three of ten sampled documents only calibrate the score, with the odds the others taught.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean, grams, docs = Counter(), Counter(), Counter(), [0, 0]
         for batch in batches:
-            for text, label in zip(batch["text"], batch["label"], strict=True):
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
                 tokens = Counter((text or "").lower().split())
                 words = {EDGE.sub("", t) for t in tokens} - {""}
                 (toxic if label else clean).update({f for w in words for f in features(w)})
@@ -202,16 +201,15 @@ def train(documents: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1
                     if w.isalpha():
                         padded = f"^^{w}$"
                         grams.update(padded[i : i + 3] for i in range(len(w) + 1))
-        yield pd.DataFrame({"kind": "f", "key": list(toxic), "t": list(toxic.values()), "c": [clean[k] for k in toxic]})
-        rest = [k for k in clean if k not in toxic]
-        yield pd.DataFrame({"kind": "f", "key": rest, "t": 0, "c": [clean[k] for k in rest]})
-        yield pd.DataFrame({"kind": "g", "key": list(grams), "t": list(grams.values()), "c": 0})
-        yield pd.DataFrame({"kind": ["n"], "key": ["docs"], "t": [docs[1]], "c": [docs[0]]})
+        rows = [("f", k, toxic[k], clean[k]) for k in toxic.keys() | clean.keys()]
+        rows += [("g", k, n, 0) for k, n in grams.items()] + [("n", "docs", docs[1], docs[0])]
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, names=["kind", "key", "t", "c"])
 
     sample = labelled_sample(documents, labels, "toxic", folds, fold, SAMPLE)
     teaches = F.pmod(F.xxhash64("doc_id", F.lit("teach")), F.lit(10)) < 7
     counts = (
-        sample.filter(teaches).mapInPandas(count, "kind string, key string, t bigint, c bigint")
+        sample.filter(teaches).mapInArrow(count, "kind string, key string, t bigint, c bigint")
         .groupBy("kind", "key")
         .agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
         .filter((F.col("kind") != "f") | ((F.col("t") >= MIN_TOXIC_DOCS) & (F.col("t") > 2 * F.col("c"))))
