@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from jobloom.functions.text import SEGMENT_BREAK, let, trimmed
 from jobloom.operators.ranking import first_per_group, top_per_group
+from jobloom.session import cut_lineage
 
 Matcher = Callable[[DataFrame], DataFrame]
 MATCH_COLUMNS = ("code", "assigned_title")
@@ -26,7 +27,9 @@ def exact_matcher(lookup: DataFrame) -> Matcher:
 
 def title_segments(title: Column) -> Column:
     """Trimmed pieces between punctuation marks."""
-    return F.array_distinct(F.transform(F.split(title, SEGMENT_BREAK), lambda s: trimmed(s)))
+    pieces = F.transform(F.split(title, SEGMENT_BREAK), lambda s: trimmed(s))
+    # Titles that end in a mark would all meet under the empty piece.
+    return F.array_distinct(F.filter(pieces, lambda s: s != ""))
 
 
 def segment_matcher(lookup: DataFrame, order: str = "ord") -> Matcher:
@@ -58,17 +61,23 @@ def segment_matcher(lookup: DataFrame, order: str = "ord") -> Matcher:
 def layered_matcher(
     matchers: Sequence[Matcher], row_id: str, layer: str = "layer"
 ) -> Matcher:
-    """Run matchers in order; each sees only the rows no earlier one matched."""
+    """Run matchers in order; each sees only the rows no earlier one matched.
+
+    What a layer finds and what it leaves are stored once, so the work grows with the layers and no
+    layer is worked out again for the next.
+    """
 
     def match(df: DataFrame) -> DataFrame:
         rest, matched = df, None
         for i, m in enumerate(matchers, 1):
             found = m(rest).withColumn(layer, F.lit(i))
+            if i < len(matchers):
+                found = cut_lineage(found)
             matched = (
                 found if matched is None else matched.unionByName(found, allowMissingColumns=True)
             )
             if i < len(matchers):
-                rest = rest.join(found.select(row_id), row_id, "left_anti")
+                rest = cut_lineage(rest.join(found.select(row_id), row_id, "left_anti"))
         return matched
 
     return match

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _class_total(column: str) -> Column:
-    """Total of a table that has one row per class by now: one task sees the class set, not the data."""
-    return F.sum(column).over(Window.partitionBy())
+def _total(df: DataFrame, column: str) -> Column:
+    """Total of a column, added up task by task."""
+    return df.agg(F.sum(column)).scalar()
 
 
 def value_shares(df: DataFrame, column: str, share: str = "share") -> DataFrame:
@@ -22,7 +22,7 @@ def value_shares(df: DataFrame, column: str, share: str = "share") -> DataFrame:
 def weighted_shares(df: DataFrame, column: str, weight: str, share: str = "share") -> DataFrame:
     """Weight per value as a share of the total weight."""
     sums = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.sum(weight).alias("__w"))
-    return sums.select(column, (F.col("__w") / _class_total("__w")).alias(share))
+    return sums.select(column, (F.col("__w") / _total(sums, "__w")).alias(share))
 
 
 def mean_by_code(df: DataFrame, code: str, value: str, name: str = "mean") -> DataFrame:
@@ -47,7 +47,7 @@ def confusion_adjusted_shares(predicted: DataFrame, cells: DataFrame, pred: str
         .groupBy("truth")
         .agg(F.sum(F.col("n") * F.col("__k")).alias("__w"))
     )
-    share = F.col("__w") / _class_total("__w")
+    share = F.col("__w") / _total(by_truth, "__w")
     shares = by_truth.select(F.col("truth").alias("code"), share.alias("share"))
     return shares.join(counts.select(F.col(pred).alias("code")), "code", "left_semi")
 

@@ -118,14 +118,14 @@ def confusion(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "ag10_confusion_wide",
     sql="""
-    select truth, cast(coalesce(sum(n) filter (pred = '11'), 0) as bigint) as c_11,
-           cast(coalesce(sum(n) filter (pred = '12'), 0) as bigint) as c_12,
-           cast(coalesce(sum(n) filter (pred = '13'), 0) as bigint) as c_13
-    from v_cells2 group by truth""",
+    select truth, """
+    + ", ".join(f"cast(coalesce(sum(n) filter (pred = '{c}'), 0) as bigint) as c_{c}" for c in range(11, 36))
+    + " from v_cells2 group by truth",
 )
 def confusion_wide(spark: SparkSession, sf: str) -> DataFrame:
-    names = ["11", "12", "13"]
-    wide = metrics.confusion_wide(cells(spark, sf, 2), names)
+    long = cells(spark, sf, 2)
+    names = scores.class_list(long, "pred")
+    wide = metrics.confusion_wide(long, names)
     return wide.select("truth", *[F.col(c).alias(f"c_{c}") for c in names])
 
 

@@ -39,7 +39,7 @@ def logistic_regression(spark: SparkSession, sf: str) -> DataFrame:
 @query("ml7_text_classifier")
 def text_classifier(spark: SparkSession, sf: str) -> DataFrame:
     data = labelled_texts(spark, sf)
-    model = models.fit_classifier(data, "code", C=100.0, stages=models.tfidf_stages(), maxIter=10)
+    model = models.fit_classifier(data, "code", C=100.0, stages=models.tfidf_stages())
     best = scores.best_class(models.predict_scores(model, data, "doc_id"))
     return best.join(data.select("doc_id", F.col("code").alias("truth")), "doc_id")
 
@@ -47,7 +47,7 @@ def text_classifier(spark: SparkSession, sf: str) -> DataFrame:
 @query("ml8_grid_search")
 def grid_search(spark: SparkSession, sf: str) -> DataFrame:
     def make(rows: int, C: float, balanced: bool):
-        return models.logistic_regression(rows, C, balanced, maxIter=10)
+        return models.logistic_regression(rows, C, balanced)
 
     grid = {"C": [0.1, 1.0, 100.0], "balanced": [False, True]}
     return models.grid_search(labelled_vectors(spark, sf), "code", "vec_id", grid, make, folds=3)
@@ -59,7 +59,7 @@ def grid_search_split(spark: SparkSession, sf: str) -> DataFrame:
 
     data = labelled_vectors(spark, sf).withColumn("train", is_train("vec_id"))
     grid = {"C": [1.0, 5.0, 10.0]}
-    make = lambda rows, C: models.logistic_regression(rows, C, True, maxIter=10)
+    make = lambda rows, C: models.logistic_regression(rows, C, True)
     return models.grid_search(data, "code", "vec_id", grid, make, split="train")
 
 
@@ -82,7 +82,7 @@ def cluster_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ml11_spectral_clusters")
 def spectral_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return clusters.spectral_clusters(vectors.items(spark, sf), "vec_id", "vec", 4, 0.75, iterations=5)
+    return clusters.spectral_clusters(vectors.items(spark, sf), "vec_id", "vec", 4, 0.75)
 
 
 @query("ml12_bisecting_clusters")
@@ -92,7 +92,7 @@ def bisecting_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 def wage_outputs(spark: SparkSession, sf: str):
     long = tasks_and_wages.regression_table(spark, sf)
-    names = list(range(0, 49))
+    names = sorted(r["cluster"] for r in long.select("cluster").distinct().collect())
     wide = clusters.incidence_wide(long, "occ", "cluster", names)
     wages = inputs.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("occ"), F.col("c_acctbal").alias("wage")
@@ -124,8 +124,7 @@ def cluster_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("ml16_word_vectors")
 def word_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    trained = models.train_word_vectors(labelled_texts(spark, sf), dim=20, min_count=20)
-    return trained.select("word", F.size("vec").alias("dim"))
+    return models.train_word_vectors(labelled_texts(spark, sf), dim=20, min_count=20)
 
 
 @query("ml17_word_pieces")
@@ -170,7 +169,7 @@ def cluster_profile(spark: SparkSession, sf: str) -> DataFrame:
     medoids = neighbors.cluster_medoids(items, "label", "vec_id", "vec", vectors.DIM)
     first = docs.groupBy((F.col("doc_id") % n).alias("vec_id")).agg(F.min_by("text", "doc_id").alias("text"))
     named = medoids.join(first, "vec_id").select(
-        F.col("label").alias("cluster"), text.truncate(F.col("text"), 60).alias("medoid")
+        F.col("label").alias("cluster"), F.col("text").alias("medoid")
     )
     words = models.label_clusters(tasks, "cluster", "text")
     return clusters.cluster_profile(clusters.concentration(tasks, "cluster", "lang"), named, words, "cluster")

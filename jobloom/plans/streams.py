@@ -18,18 +18,18 @@ from jobloom.streaming import ingest
 @query(
     "st1_incremental_ingest",
     sql="""
-    with p as (select t.url, t.title, t.company, t.category, lpad(cast(t.post_id as varchar), 12, '0') as ts,
+    with p as (select t.url, t.title, t.company, t.category, t.post_id as ts,
                       md5(c.content) as content
                from v_posting_titles t
                join v_clean c on c.doc_id = t.post_id % (select count(*) from documents)
                where c.content is not null)
-    select url, title, content, category, ts as "scrapeTimestamp", cast(company as varchar) as company from (
+    select url, title, content, category, cast(ts as varchar) as "scrapeTimestamp", cast(company as varchar) as company from (
       select *, row_number() over (partition by url order by ts desc, content, title) as rn from p) x
     where rn = 1""",
 )
 def incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
     source, table, state = (workspace(spark, n) for n in ("incoming", "postings", "state"))
-    arriving = raw_postings(spark, sf).withColumn("scrapeTimestamp", F.lpad("scrapeTimestamp", 12, "0"))
+    arriving = raw_postings(spark, sf)
     arriving.drop("post_id").repartition(4, "url", "scrapeTimestamp").write.json(source)
     ingest.ingest_postings(spark, source, table, state, text.cleaner(4), files_per_batch=1)
     return ingest.current_postings(spark, table).drop("section").withColumn("content", F.md5("content"))

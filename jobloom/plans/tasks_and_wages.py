@@ -9,7 +9,6 @@ from jobloom.operators import clusters
 from jobloom.plans import inputs
 from jobloom.plans.registry import query
 
-CLUSTERS = list(range(0, 6))
 inputs.VIEWS["v_soc_tasks"] = """
     select l_orderkey as soc, p_size - 2 as cluster from lineitem join part on p_partkey = l_partkey"""
 inputs.VIEWS["v_regression"] = """
@@ -79,12 +78,11 @@ def concentrated_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "ag22_incidence",
-    sql="select occ, "
-    + ", ".join(f"cast(max(case when cluster = {c} then 1 else 0 end) as int) as c_{c}" for c in range(0, 49))
-    + " from v_regression group by occ",
+    sql="select distinct occ, cluster from v_regression",
 )
 def incidence(spark: SparkSession, sf: str) -> DataFrame:
-    return clusters.incidence_wide(regression_table(spark, sf), "occ", "cluster", range(0, 49))
+    """The long form, which needs no list of clusters."""
+    return clusters.incidence(regression_table(spark, sf), "occ", "cluster")
 
 
 @query("ag23_clusters_per_key", sql="select occ, count(*) as n_clusters from (select distinct occ, cluster from v_regression) x group by occ")

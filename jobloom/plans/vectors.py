@@ -82,7 +82,7 @@ def document_vectors(spark: SparkSession, sf: str) -> DataFrame:
          m as (select c.doc_id, c.sent_no, sqrt(sum(c.n * q.sq)) as norm from c join q on q.word = c.word
                group by 1, 2),
          s as (select c.doc_id, c.sent_no, d.i, sum(c.n * d.x) as x from c join v_word_dims d on d.word = c.word
-               where d.i <= 8 group by all)
+               group by all)
     select s.doc_id, s.sent_no, cast(s.i as bigint) as dim, round(s.x / m.norm, 6) as value
     from s join m on m.doc_id = s.doc_id and m.sent_no = s.sent_no where m.norm > 0""",
 )
@@ -90,8 +90,7 @@ def sentence_vectors(spark: SparkSession, sf: str) -> DataFrame:
     vecs = embeddings.embed_sentences(
         inputs.sentences(spark, sf), word_vectors(spark, sf), ["doc_id", "sent_no"], "sent", DIM, lower_words
     )
-    # The first components are enough to compare and keep the long result small.
-    return flat(vecs.withColumn("vec", F.slice("vec", 1, 8)), "doc_id", "sent_no")
+    return flat(vecs, "doc_id", "sent_no")
 
 
 @query(

@@ -18,6 +18,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+SMALL_SCAN = 16
+
 
 def build_session(master: str | None = None, app_name: str = "jobloom", **conf: str) -> SparkSession:
     """A session with the library's settings; on a cluster leave `master` to spark-submit."""
@@ -48,12 +50,12 @@ def workspace(spark: SparkSession, name: str) -> str:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal the rows of a small scan over all cores before heavy work per row.
+    """Deal the rows of a small scan over up to `SMALL_SCAN` cores before heavy work per row.
 
-    A file with one row group is one task, whatever it holds. Inputs that already come in as many
-    splits as there are cores, as any large one does, are returned unchanged.
+    A file with one row group is one task, whatever it holds. Inputs that come in `SMALL_SCAN` splits
+    or more are returned unchanged however many cores there are, so no large table is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    cores = min(SMALL_SCAN, df.sparkSession.sparkContext.defaultParallelism)
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -14,8 +14,16 @@ from jobloom.sources.readers import RAW_JOB_SCHEMA, job_records
 BATCH = "batch"
 
 
+def moment(stamp: str) -> Column:
+    """A time stamp as seconds: a number as it is, a date or time parsed; null for anything else."""
+    text = F.col(stamp).cast("string")
+    return F.coalesce(text.try_cast("double"), text.try_cast("timestamp").try_cast("double"))
+
+
 def _newest_first():
-    return [F.col("scrapeTimestamp").desc(), content_key(F.col("content")), F.col("title")]
+    """By time, then by the stamp's text where it is no time, then by content."""
+    stamp = F.col("scrapeTimestamp")
+    return [moment("scrapeTimestamp").desc_nulls_last(), stamp.desc(), content_key(F.col("content")), F.col("title")]
 
 
 def _run(stream: DataFrame, handle, checkpoint: str) -> None:
