@@ -20,13 +20,14 @@ def slot_pattern(
 
 
 def split_matches(
-    matches: DataFrame, documents: DataFrame, group: str, seed: str = "1"
+    matches: DataFrame, documents: DataFrame, group: str, seed: str = "1", abstract: str | None = None
 ) -> dict[str, DataFrame]:
     """Matches `(patent_id, sent_id, pos, sentence, task_id, task, distance)` as three tables.
 
-    Sentences get ids by first appearance in their document, tasks shuffled ids per sentence.
+    All documents are kept, with the white space of column `abstract` collapsed. Sentences get ids by
+    first appearance in their document, tasks shuffled ids per sentence.
     """
-    kept = documents.join(matches.select("patent_id"), "patent_id", "left_semi")
+    kept = documents.withColumn(abstract, F.trim(F.regexp_replace(abstract, r"\s+", " "))) if abstract else documents
     ided = nested_local_id(matches, "patent_id", "sent_id", "pos", "sent_index")
     sentences = ided.select("patent_id", "sent_index", "sentence").distinct()
     tasks = random_local_id(

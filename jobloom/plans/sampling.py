@@ -55,8 +55,9 @@ def random_local_id(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "wf6_split_documents",
     sql="""
-    select p.patent_id, p.year, p.class, 'A' as classifier_group from v_patents p
-    where p.patent_id in (select patent_id from v_matches)""",
+    select p.patent_id, p.year, p.class, trim(regexp_replace(d.text, '\\s+', ' ', 'g')) as abstract,
+           'A' as classifier_group
+    from v_patents p left join documents d on d.doc_id = p.patent_id""",
 )
 def split_documents(spark: SparkSession, sf: str) -> DataFrame:
     return _split(spark, sf)["documents"]
@@ -88,7 +89,9 @@ def _split(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         .withColumn("sentence", F.concat(F.lit("s"), F.col("sent_id").cast("string")))
         .withColumn("task", F.concat(F.lit("t"), F.col("task_id").cast("string")))
     )
-    return worklists.split_matches(found, inputs.patents(spark, sf).drop("status"), "A", seed="7")
+    texts = inputs.table(spark, sf, "documents").select(F.col("doc_id").alias("patent_id"), F.col("text").alias("abstract"))
+    patents = inputs.patents(spark, sf).drop("status").join(texts, "patent_id", "left")
+    return worklists.split_matches(found, patents, "A", seed="7", abstract="abstract")
 
 
 # ---------------------------------------------------------------- samples

@@ -114,6 +114,28 @@ def unseen_texts(spark: SparkSession, sf: str) -> DataFrame:
     return flat(embeddings.embed_unseen(docs, store, word_vectors(spark, sf), "text", DIM, lower_words), "key")
 
 
+@query(
+    "ml3_all_vectors",
+    sql="""
+    with c as (select doc_id, word, count(*) as n from v_words group by 1, 2),
+         s as (select c.doc_id, d.i, sum(c.n * d.x) as x from c join v_word_dims d on d.word = c.word group by 1, 2),
+         z as (select doc_id, sqrt(sum(x * x)) as norm from s group by 1),
+         known as (select distinct md5(text) as key from documents where lang = 'en')
+    select o.doc_id, cast(r.i as bigint) as dim,
+           round(case when k.key is not null then cast(r.i as double)
+                      else coalesce(case when z.norm > 1e-7 then s.x / z.norm else s.x end, 0.0) end, 6) as value
+    from documents o cross join (select unnest(range(1, 65)) as i) r
+    left join known k on k.key = md5(o.text)
+    left join s on s.doc_id = o.doc_id and s.i = r.i left join z on z.doc_id = o.doc_id""",
+)
+def all_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored vectors (here recognisable ones, for English texts) are taken over, all others are new."""
+    docs = inputs.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    stored = F.array(*[F.lit(float(i + 1)) for i in range(DIM)]).alias("vec")
+    store = docs.where("lang = 'en'").select(text.content_key(F.col("text")).alias("key")).distinct().select("key", stored)
+    return flat(embeddings.embed_all(docs, store, word_vectors(spark, sf), "doc_id", "text", DIM, lower_words), "doc_id")
+
+
 @query(
     "ml4_complete_items",
     sql="select vec_id from embeddings where label <> 0",
@@ -154,6 +176,29 @@ def tfidf(spark: SparkSession, sf: str) -> DataFrame:
     return weights(spark, sf).select("doc_id", "term", F.round("tfidf", 6).alias("tfidf"))
 
 
+_groups = f"""
+    with w as (select doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
+                                          lambda x: x not in ({_stop})) as w from documents),
+         g as (select doc_id, unnest(w) as term from w
+               union all
+               select doc_id, concat(w[i], ' ', w[i + 1]) from (select doc_id, w, unnest(range(1, len(w))) as i from w) a),
+         c as (select doc_id, term, count(*) as tf from g group by 1, 2),
+         f as (select term, count(*) as df from c group by 1),
+         n as (select cast(count(*) as double) as n from documents),
+         x as (select c.doc_id, c.term, c.tf * (ln((1 + n) / (1 + df)) + 1) as v from c join f on f.term = c.term
+               cross join n where df >= 10 and df <= 0.4 * n)
+    select doc_id, term, round(v / sqrt(sum(v * v) over (partition by doc_id)), 6) as tfidf from x"""
+
+
+@query("ml5_tfidf_word_groups", sql=_groups)
+def tfidf_word_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms of one and two words."""
+    docs = inputs.table(spark, sf, "documents").select("doc_id", "text")
+    counts = terms.term_counts(docs, "doc_id", "text", low=1, high=2)
+    out = terms.tfidf(counts, "doc_id", docs.agg(F.count(F.lit(1))).scalar(), min_df=10, max_df=0.4)
+    return out.withColumn("tfidf", F.round("tfidf", 6))
+
+
 @query("ml18_vocabulary", sql="select word, count(*) as n from v_words group by word having count(*) >= 20")
 def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     return terms.vocabulary(words(spark, sf), "word", 20)
