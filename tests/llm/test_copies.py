@@ -227,3 +227,20 @@ def test_fingerprint_is_native(spark):
     plan = spotsigs.fingerprint_edits(h.documents(spark, h.odd_rows()))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert F  # plans are checked as text
+
+
+def test_sketches_never_deny_a_link():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    sets = [np.unique(base[: rng.integers(500, 4000)]) for _ in range(20)]
+    sets += [np.unique(np.concatenate([base[:1000], rng.integers(0, 2**63, k).astype(np.uint64)])) for k in (0, 100, 333, 334, 600)]
+    bits = jaccard_join.sketches(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    words = [np.frombuffer(b, np.uint64) for b in bits]
+    assert len({len(w) for w in words}) > 2
+    allowed = denied = 0
+    for a, x in zip(sets, words):
+        for b, y in zip(sets, words):
+            ok = bool(jaccard_join.may_link(x, len(a), y, len(b)))
+            assert ok or not jaccard_join.linked(len(np.intersect1d(a, b)), len(a), len(b))
+            allowed, denied = allowed + ok, denied + (not ok)
+    assert allowed and denied
