@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,46 +119,34 @@ def class_correlation(
 ) -> DataFrame:
     """Correlation of every two class-probability columns; a missing class counts as 0.
 
-    Each task sums the products of its own documents, so only one small matrix per task moves.
+    A document adds the products of the classes it has, summed task by task; the result has a row per
+    pair of the given classes.
     """
-    import numpy as np
-    import pandas as pd
-
-    names = list(classes)
-    k = len(names)
-    n_docs = scores.select(doc).distinct().agg(F.count(F.lit(1))).scalar()
-    index = {c: i for i, c in enumerate(names)}
-    per_doc = scores.groupBy(doc).agg(
-        F.collect_list(F.struct(F.col(code).alias("c"), F.col(p).alias("p"))).alias("row")
-    )
-
-    def products(batches):
-        gram, total = np.zeros((k, k)), np.zeros(k)
-        for pdf in batches:
-            block = np.zeros((len(pdf), k))
-            for r, entries in enumerate(pdf["row"]):
-                for e in entries:
-                    block[r, index[e["c"]]] += e["p"]
-            gram += block.T @ block
-            total += block.sum(axis=0)
-        i, j = np.triu_indices(k, 1)
-        yield pd.DataFrame(
-            {
-                "i": i, "j": j, "sij": gram[i, j], "sii": gram[i, i], "sjj": gram[j, j],
-                "si": total[i], "sj": total[j],
-            }
+    n = scores.select(doc).distinct().agg(F.count(F.lit(1))).scalar().cast("double")
+    known = scores.where(F.col(code).isin(*classes))
+    per_doc = known.groupBy(doc, code).agg(F.sum(p).alias("p"))
+    sums = per_doc.groupBy(F.col(code).alias("c")).agg(F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("ss"))
+    rows = per_doc.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(code).alias("c"), "p"))).alias("row"))
+    # The classes behind each class of a document, which has each once.
+    products = F.flatten(
+        F.transform(
+            "row",
+            lambda x, i: F.transform(
+                F.slice("row", i + 2, F.size("row")),
+                lambda y: F.struct(x["c"].alias("a"), y["c"].alias("b"), (x["p"] * y["p"]).alias("xy")),
+            ),
         )
-
-    parts = per_doc.select("row").mapInPandas(
-        products, "i int, j int, sij double, sii double, sjj double, si double, sj double"
     )
-    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("sij", "sii", "sjj", "si", "sj")])
-    labels = F.array(*[F.lit(c) for c in names])
-    n = n_docs.cast("double")
-    cov = n * F.col("sij") - F.col("si") * F.col("sj")
-    var = (n * F.col("sii") - F.col("si") ** 2) * (n * F.col("sjj") - F.col("sj") ** 2)
-    return sums.select(
-        F.element_at(labels, F.col("i") + 1).alias("class_a"),
-        F.element_at(labels, F.col("j") + 1).alias("class_b"),
-        F.when(var > 0, cov / F.sqrt(var)).alias("corr"),
+    together = rows.select(F.explode(products).alias("x")).groupBy("x.a", "x.b").agg(F.sum("x.xy").alias("sab"))
+    pairs = F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b")) for x, y in combinations(sorted(classes), 2)])
+    grid = scores.sparkSession.range(1).select(F.explode(pairs).alias("x")).select("x.a", "x.b")
+    full = (
+        grid.join(sums.select(F.col("c").alias("a"), F.col("s").alias("sa"), F.col("ss").alias("ssa")), "a", "left")
+        .join(sums.select(F.col("c").alias("b"), F.col("s").alias("sb"), F.col("ss").alias("ssb")), "b", "left")
+        .join(together, ["a", "b"], "left")
+    )
+    var = (n * F.col("ssa") - F.col("sa") ** 2) * (n * F.col("ssb") - F.col("sb") ** 2)
+    cov = n * F.coalesce("sab", F.lit(0.0)) - F.col("sa") * F.col("sb")
+    return full.select(
+        F.col("a").alias("class_a"), F.col("b").alias("class_b"), F.when(var > 0, cov / F.sqrt(var)).alias("corr")
     )
