@@ -253,7 +253,18 @@ class Suffixes:
         return np.where(full, ties, self.data[x + inside] < self.data[y + inside])
 
     def sort(self, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Order of `starts` by group (already ascending) and suffix: bottom-up merging inside all groups at once."""
+        """Stable order of `starts` by group and suffix: by the first eight bytes, then by merging what they leave equal."""
+        head = np.zeros(len(starts), np.uint64)
+        for j in range(8):
+            head = (head << np.uint64(8)) | self.data[starts + j]
+        order = np.lexsort((head, group))
+        head, group = head[order], group[order]
+        new = np.ones(len(starts), bool)
+        new[1:] = (head[1:] != head[:-1]) | (group[1:] != group[:-1])
+        return order[self.merge(starts[order], np.cumsum(new))]
+
+    def merge(self, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Stable order of `starts` by group (already ascending) and suffix: bottom-up merging inside all groups at once."""
         n = len(starts)
         order = np.arange(n)
         begin = np.searchsorted(group, group)
