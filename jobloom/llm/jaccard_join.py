@@ -13,6 +13,11 @@ single children as one segment) and all nodes of the hub traverse it: a segment'
 for all sets below it, and a subtree is left as soon as the sizes of its sets and what remains of
 both sides can't reach the threshold. Large hubs are cut into blocks of both roles.
 
+Sets are long, so only those travel that may matter: each node has a sketch of parity bits (twice its
+shingles, `SKETCH` at least), in which two sets differ in at most as many bits as in shingles. Pairs whose sketches differ too much
+can't be linked, and only the other nodes' sets are read again from their texts, picked by a Bloom
+filter of bounded size.
+
 Defined results: a document with fewer than five words has one shingle, all its words; null, empty
 and wordless texts have none, are linked with nothing and form their own component; equal sets are
 linked; rows that repeat an id are judged on their own texts; a null id never names a component
@@ -30,6 +35,7 @@ from pyspark.sql import functions as F
 
 from jobloom.llm import bytetext as bt
 from jobloom.llm.components import components
+from jobloom.llm.frequent import most_frequent
 from jobloom.session import workspace
 
 SHINGLE = 5
@@ -38,6 +44,8 @@ COMMON_IN_TASK = 4  # sets of one stretch of a task that hold a shingle, from wh
 STRETCH = 1 << 22  # hashes counted together in a task
 COMMON = 1 << 18  # shingles with a counted place in the order (their table goes to all tasks: 4 MB)
 TREE_SETS, PROBE_SETS = 512, 2048  # sets of a block in either role
+SKETCH = 2048
+BLOOM_BITS = 1 << 27  # at most; it goes to all tasks (16 MB)
 
 
 def shingle_sets(chunk: bt.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -70,9 +78,48 @@ def node_ids(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.where(n > 0, bt.mix(sums + n), np.uint64(0)).view(np.int64)
 
 
-def required(n: int) -> int:
-    """Shingles a set of n must share with any set it is linked with."""
-    return -(-NUM * n // DEN)
+def sketches(grams: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """For each set, the parities of its shingles in classes by their low bits: twice as many as shingles, a power of two."""
+    n = np.diff(first)
+    cells = np.maximum(SKETCH, 1 << np.ceil(np.log2(2 * np.maximum(n, 1))).astype(np.int64))
+    owner = np.repeat(np.arange(len(n)), n)
+    out: list[bytes] = [b""] * len(n)
+    for size in np.unique(cells):
+        texts = np.flatnonzero(cells == size)
+        local = np.full(len(n), -1)
+        local[texts] = np.arange(len(texts))
+        mine = local[owner] >= 0
+        at = local[owner[mine]] * size + (grams[mine] & np.uint64(size - 1)).astype(np.int64)
+        odd = (np.bincount(at, minlength=len(texts) * size) & 1).astype(np.uint8).reshape(len(texts), size)
+        for i, row in zip(texts, np.packbits(odd, axis=1, bitorder="little"), strict=True):
+            out[i] = row.tobytes()
+    return out
+
+
+def may_link(bits_a: np.ndarray, n_a: np.ndarray, bits_b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Whether sketches (rows of 64-bit words) allow a link; exact in that it never denies one.
+
+    The finer sketch is folded: the parities of a coarser class are those of its parts together.
+    """
+    while bits_a.shape[-1] > bits_b.shape[-1]:
+        bits_a = bits_a[..., : bits_a.shape[-1] // 2] ^ bits_a[..., bits_a.shape[-1] // 2 :]
+    while bits_b.shape[-1] > bits_a.shape[-1]:
+        bits_b = bits_b[..., : bits_b.shape[-1] // 2] ^ bits_b[..., bits_b.shape[-1] // 2 :]
+    both = n_a + n_b
+    apart = both - 2 * -(-NUM * both // (DEN + NUM))
+    fits = DEN * np.minimum(n_a, n_b) >= NUM * np.maximum(n_a, n_b)
+    return fits & (np.bitwise_count(bits_a ^ bits_b).sum(axis=-1) <= apart)
+
+
+def by_size(column: pa.Array | pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sketches of a column by their sizes: (rows, their 64-bit words)."""
+    raw = [b.as_buffer() for b in column]
+    sizes = np.array([b.size for b in raw], np.int64)
+    out = []
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        out.append((rows, np.frombuffer(b"".join(raw[i] for i in rows), np.uint64).reshape(len(rows), size // 8)))
+    return out
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,8 +131,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, counts = np.unique(np.concatenate(kept), return_counts=True) if kept else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         often = counts >= COMMON_IN_TASK
         return pa.RecordBatch.from_arrays(
-            [pa.nulls(int(often.sum()), kind), pa.array(-counts[often].astype(np.int64)), pa.array(values[often].view(np.int64))],
-            names=["doc_id", "n", "node"],
+            [pa.nulls(int(often.sum()), kind), pa.array(-counts[often].astype(np.int64)), pa.array(values[often].view(np.int64)), pa.nulls(int(often.sum()), pa.binary())],
+            names=["doc_id", "n", "node", "bits"],
         )
 
     for batch in batches:
@@ -93,7 +140,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in bt.chunks(batch.column(1)):
             grams, first = shingle_sets(c)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(c.lo, c.n), pa.array(np.diff(first)), pa.array(node_ids(grams, first))], names=["doc_id", "n", "node"]
+                [batch.column(0).slice(c.lo, c.n), pa.array(np.diff(first)), pa.array(node_ids(grams, first)), pa.array(sketches(grams, first), pa.binary())],
+                names=["doc_id", "n", "node", "bits"],
             )
             kept.append(grams)
             held += len(grams)
@@ -105,14 +153,22 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _heads(common: np.ndarray, rank: np.ndarray):
-    """Task function: rows (node, shingle, common) of the first shingles of each set in the global order."""
+    """Task function: rows (node, shingle, common) of the first shingles of each set in the global order, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
             for c in bt.chunks(batch.column(0)):
                 grams, first = shingle_sets(c)
                 nodes, n = node_ids(grams, first), np.diff(first)
+                fresh = np.zeros(c.n, bool)
+                for i, node in enumerate(nodes.tolist()):
+                    fresh[i] = node not in done
+                    done.add(node)
                 owner = np.repeat(np.arange(c.n), n)
+                grams, owner = grams[fresh[owner]], owner[fresh[owner]]
+                n = np.where(fresh, n, 0)
+                first = np.concatenate([[0], np.cumsum(n)])
                 if len(common):
                     at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
                     often = np.where(common[at] == grams, rank[at], 0)
@@ -150,12 +206,86 @@ def _tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["hub", "node"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scramble(node: np.ndarray, salt: int) -> np.ndarray:
+    return bt.mix(node.view(np.uint64) ^ np.uint64(salt))
+
+
+BLOOM_SALTS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x243F6A8885A308D3)
+
+
+def _bloom_cells(size: int):
+    """Task function: the (word, bit) cells of nodes in a Bloom filter of `size` bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            at = np.concatenate([_scramble(node, s) % np.uint64(size) for s in BLOOM_SALTS])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bit"]
+            )
+
+    return run
+
+
+def bloom_filter(nodes: DataFrame) -> np.ndarray:
+    """A Bloom filter of a column of nodes: 16 bits a node, `BLOOM_BITS` at most."""
+    size = min(BLOOM_BITS, max(1 << 16, 1 << (16 * nodes.count()).bit_length()))
+    cells = nodes.mapInArrow(_bloom_cells(size), "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[cells.column("word").to_numpy()] = cells.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _sets(bloom: np.ndarray):
+    """Task function: (node, grams) of the texts whose node is in the filter, once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for batch in batches:
+            for c in bt.chunks(batch.column(0)):
+                grams, first = shingle_sets(c)
+                nodes = node_ids(grams, first)
+                wanted = np.diff(first) > 0
+                for salt in BLOOM_SALTS:
+                    at = _scramble(nodes, salt) % np.uint64(64 * len(bloom))
+                    wanted &= (bloom[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+                keep = [i for i in np.flatnonzero(wanted).tolist() if int(nodes[i]) not in done]
+                done.update(int(nodes[i]) for i in keep)
+                raw = [grams[first[i] : first[i + 1]].tobytes() for i in keep]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(raw, pa.binary())], names=["node", "grams"])
+
+    return run
+
+
+def _compatible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (hub, node, sketches and sizes of both) whose sketches allow a link."""
     for batch in batches:
-        for c in bt.chunks(batch.column(0)):
-            grams, first = shingle_sets(c)
-            raw = [grams[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(node_ids(grams, first)), pa.array(raw, pa.binary())], names=["node", "grams"])
+        n_a, n_b = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+        ok = np.zeros(batch.num_rows, bool)
+        hubs, nodes = by_size(batch.column(2)), by_size(batch.column(3))
+        for rows_a, a in hubs:
+            for rows_b, b in nodes:
+                rows, i, j = np.intersect1d(rows_a, rows_b, assume_unique=True, return_indices=True)
+                ok[rows] = may_link(a[i], n_a[rows], b[j], n_b[rows])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["hub", "node"]).filter(pa.array(ok))
+
+
+def _screen(table: pa.Table) -> pa.Table:
+    """One block around a hub: the nodes with a partner in the other role and another component that sketches allow."""
+    stored, n, comp = (table.column(c).to_numpy() for c in ("stored", "n", "comp"))
+    sketched = by_size(table.column("bits"))
+    keep = np.zeros(len(n), bool)
+    for rows, bits in sketched:
+        for i, own in zip(rows, bits, strict=True):
+            if not stored[i]:
+                continue
+            for others, theirs in sketched:
+                near = ~stored[others] & (comp[others] != comp[i]) & (DEN * np.minimum(n[others], n[i]) >= NUM * np.maximum(n[others], n[i]))
+                probes = others[near]
+                good = probes[may_link(own, n[i], theirs[near], n[probes])]
+                keep[good] = True
+                keep[i] |= len(good) > 0
+    return table.select(["hub", "tree", "probe", "node", "comp", "stored"]).filter(pa.array(keep))
 
 
 def linked(common: int, n_a: int, n_b: int) -> bool:
@@ -275,19 +405,17 @@ def near_copy_classes(documents: DataFrame) -> DataFrame:
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
     described = workspace(spark, "described")
-    docs.mapInArrow(_describe, f"doc_id {kind}, n bigint, node bigint").write.parquet(described)
+    docs.mapInArrow(_describe, f"doc_id {kind}, n bigint, node bigint, bits binary").write.parquet(described)
     rows = spark.read.parquet(described)
-    often = rows.filter("n < 0").groupBy("node").agg((-F.sum("n")).alias("count")).orderBy(F.desc("count"), "node").limit(COMMON).collect()
-    values = np.array([r["node"] for r in often], np.int64).view(np.uint64)
+    often = most_frequent(rows.filter("n < 0").groupBy("node").agg((-F.sum("n")).alias("count")), COMMON).toArrow()
+    values = often.column("node").to_numpy().view(np.uint64)
     order = np.argsort(values)
-    shared = values[order], np.array([r["count"] for r in often], np.int64)[order]
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
-
-    def texts(of: DataFrame) -> DataFrame:
-        return docs.join(of.select(F.col("first").alias("_first")).distinct(), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").select("text")
+    shared = values[order], often.column("count").to_numpy()[order]
+    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
+    texts = docs.select("text")
 
     heads_at = workspace(spark, "heads")
-    texts(nodes).mapInArrow(_heads(*shared), "node bigint, shingle bigint, common boolean").write.parquet(heads_at)
+    texts.mapInArrow(_heads(*shared), "node bigint, shingle bigint, common boolean").write.parquet(heads_at)
     heads = spark.read.parquet(heads_at)
     rare = heads.filter(~F.col("common")).select("shingle", "node").repartition("shingle").sortWithinPartitions("shingle", "node")
     # Common shingles, of which there are few, may each hold a large part of all nodes: their hubs come from partial minima.
@@ -298,12 +426,27 @@ def near_copy_classes(documents: DataFrame) -> DataFrame:
     ties.write.parquet(ties_at)
     ties = spark.read.parquet(ties_at)
 
-    wanted = ties.select("node").union(ties.select("hub")).distinct()
-    sets_at = workspace(spark, "sets")
-    # Rows that repeat an id may bring other sets along; they join nothing below.
-    texts(nodes.join(wanted, "node")).mapInArrow(_sets, "node bigint, grams binary").write.parquet(sets_at)
-    sets = spark.read.parquet(sets_at)
-    both = ties.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("grams").alias("hub_grams")), "hub")
+    sketched = nodes.select("node", "n", "bits")
+    of_hubs = sketched.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits"))
+    compatible_at = workspace(spark, "compatible")
+    (
+        ties.join(sketched, "node")
+        .join(of_hubs, "hub")
+        .select("hub", "node", "hub_bits", "bits", "hub_n", "n")
+        .mapInArrow(_compatible, "hub bigint, node bigint")
+        .write.parquet(compatible_at)
+    )
+    compatible = spark.read.parquet(compatible_at)
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(node, grams) of the wanted nodes and a few more, read from the texts."""
+        at = workspace(spark, "sets")
+        found = texts.mapInArrow(_sets(bloom_filter(wanted)), "node bigint, grams binary")
+        found.join(wanted, "node", "left_semi").dropDuplicates(["node"]).write.parquet(at)
+        return spark.read.parquet(at)
+
+    sets = sets_of(compatible.select("node").union(compatible.select("hub")).distinct())
+    both = compatible.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("grams").alias("hub_grams")), "hub")
     verified_at = workspace(spark, "verified")
     both.select("hub", "node", "hub_grams", "grams").mapInArrow(_verify, "hub bigint, node bigint, linked boolean").write.parquet(verified_at)
     verified = spark.read.parquet(verified_at).filter("linked").select("hub", "node")
@@ -327,16 +470,24 @@ def near_copy_classes(documents: DataFrame) -> DataFrame:
 
     traversing = placed.select("hub", "node", "comp", F.lit(False).alias("stored"), every("trees").alias("tree"), block("probes").alias("probe"))
     stored = placed.filter("apart").select("hub", "node", "comp", F.lit(True).alias("stored"), every("probes").alias("probe"), block("trees").alias("tree"))
-    found = (
+    screened_at = workspace(spark, "screened")
+    (
         traversing.unionByName(stored)
-        .join(sets, "node")
+        .join(sketched, "node")
+        .groupBy("hub", "tree", "probe")
+        .applyInArrow(_screen, "hub bigint, tree int, probe int, node bigint, comp bigint, stored boolean")
+        .write.parquet(screened_at)
+    )
+    screened = spark.read.parquet(screened_at)
+    found = (
+        screened.join(sets_of(screened.select("node").distinct()), "node")
         .groupBy("hub", "tree", "probe")
         .applyInArrow(_search, "hub bigint, node bigint")
     )
     classes = components(verified.union(found), "hub", "node")
-    ids = classes.join(nodes, "node", "left")
+    ids = classes.join(nodes.select("node", "first"), "node", "left")
     smallest = ids.groupBy("label").agg(F.min("first").alias("component"))
     of_node = ids.join(smallest, "label").select("node", "component")
-    result = rows.filter("n >= 0").join(nodes, "node", "left").join(of_node, "node", "left")
+    result = rows.filter("n >= 0").select("doc_id", "n", "node").join(nodes.select("node", "first"), "node", "left").join(of_node, "node", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "first", "doc_id")).otherwise(F.col("doc_id"))
     return result.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
