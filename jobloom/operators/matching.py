@@ -27,9 +27,7 @@ def exact_matcher(lookup: DataFrame) -> Matcher:
 
 def title_segments(title: Column) -> Column:
     """Trimmed pieces between punctuation marks."""
-    pieces = F.transform(F.split(title, SEGMENT_BREAK), lambda s: trimmed(s))
-    # Titles that end in a mark would all meet under the empty piece.
-    return F.array_distinct(F.filter(pieces, lambda s: s != ""))
+    return F.array_distinct(F.transform(F.split(title, SEGMENT_BREAK), lambda s: trimmed(s)))
 
 
 def segment_matcher(lookup: DataFrame, order: str = "ord") -> Matcher:
@@ -46,6 +44,8 @@ def segment_matcher(lookup: DataFrame, order: str = "ord") -> Matcher:
             df.select("title")
             .distinct()
             .select("title", F.explode(title_segments(F.col("title"))).alias("__segment"))
+            # Titles that end in a mark would all meet under the empty piece.
+            .where("__segment <> ''")
         )
         best = first_per_group(
             pieces.join(known, "__segment"),

@@ -13,9 +13,11 @@ def test_stamps_of_unequal_length(spark):
     assert got[0] < got[1] < got[3] < got[2] and got[4] is None and got[5] is None
 
 
-def test_titles_that_end_in_marks_have_no_empty_piece(spark):
-    got = spark.createDataFrame([("clerk, ",), (" - ",)], "t string").select(matching.title_segments(F.col("t")).alias("s")).collect()
-    assert [r["s"] for r in got] == [["clerk"], []]
+def test_titles_that_end_in_marks_match_no_empty_title(spark):
+    lookup = spark.createDataFrame([("", "0-0", 1), ("clerk", "1-1", 2)], "title string, code string, ord int")
+    titles = spark.createDataFrame([("clerk, ",), (" - ",)], "title string")
+    got = titles.transform(matching.segment_matcher(lookup)).select("title", "code").collect()
+    assert [tuple(r) for r in got] == [("clerk, ", "1-1")]
 
 
 def test_layers_keep_linear_plans(spark):
