@@ -24,9 +24,9 @@ ANCHORS = tuple(
     el en los las y del se por con para no una su al lo""".split()
 )
 CHAIN = 2
-ROWS_PER_RANGE = 2048
+ROWS_PER_RANGE = 256
 # Up to this many ranges of ids their first ids are sent to all tasks; beyond, they are joined by shuffle.
-SHARED_RANGES = 500_000
+SHARED_RANGES = 1_000_000
 
 
 def with_signatures(df: DataFrame, text: str, into: str, anchors: tuple[str, ...] = ANCHORS, chain: int = CHAIN) -> DataFrame:
