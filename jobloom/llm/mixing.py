@@ -21,7 +21,7 @@ from jobloom.session import cut_lineage
 WORD = r"[^\x20\x09-\x0D]+"
 LEVELS = ("domain", "lang", "source")
 # Rows of a leaf whose running totals one task works out; larger leaves are cut along the drawn order.
-ROWS_PER_SLICE = 20_000
+ROWS_PER_SLICE = 1_000
 
 
 def weight_of(level: str, weights: dict[str, dict[str, int]]) -> Column:
