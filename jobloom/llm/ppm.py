@@ -5,9 +5,10 @@ The model is a trie of byte contexts up to `ORDER` bytes long, counted over all
 longest known context; where that has not seen it, an escape (method C: as many chances as distinct
 successors) leads to the next shorter one, without the symbols the longer one would have given.
 Shorter contexts count in how many longer ones a successor was seen. At most `NODES` successors an
-order stay in the trie, the most frequent; what falls off is reached by an escape.
+order stay in the trie, those seen 2**k times or more for the smallest k that fits; what falls off is
+reached by an escape.
 
-The baseline needs the training count of every word. The `HEAD` most frequent words go to all tasks;
+The baseline needs the training count of every word. The most frequent words (`HEAD` at most) go to all tasks;
 all other words of a document are joined with the counts by their 64-bit hashes.
 
 Defined results: a null text counts as empty and has one token, its end; repeated rows are scored
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.llm import bytetext as bt
+from jobloom.llm.frequent import most_frequent
 from jobloom.llm.toxicity import held_out
 from jobloom.session import workspace
 
@@ -263,10 +265,10 @@ def score_documents(documents: DataFrame) -> DataFrame:
         if order < ORDER:
             mask = (1 << (8 * (order + 1))) - 1
             level = level.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.count(F.lit(1)).alias("count"))
-        top = level.orderBy(F.desc("count"), "key").limit(NODES).toArrow()
+        top = most_frequent(level, NODES).toArrow()
         tables.insert(0, (top.column("key").to_numpy().view(np.uint64), top.column("count").to_numpy()))
     model = spark.sparkContext.broadcast(build(tables))
-    top = words.orderBy(F.desc("count"), "key").limit(HEAD).toArrow()
+    top = most_frequent(words, HEAD).toArrow()
     key = top.column("key").to_numpy().view(np.uint64)
     sort = np.argsort(key)
     head = spark.sparkContext.broadcast((key[sort], top.column("count").to_numpy()[sort]))
