@@ -1,8 +1,10 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Everything runs in column expressions and Spark's own forest. A candidate is a long run of key
-characters within one whitespace word. The forest sees its length, its character transitions, how
-much of it ordinary words cover, path marks and the neighbouring words. It is trained on labelled
+Everything runs in column expressions and Spark's own forest. Every longest run of 12 or more key
+characters within a whitespace word is a candidate of its own, however many a word has and whatever
+follows. The forest sees its length, its character transitions, how much of it ordinary words cover,
+and path marks and names around it: in the word back to the start of the gap before the previous
+candidate and on to the next, and in the last `NEAR` characters of the two words before. It is trained on labelled
 findings: those of a bounded sample of candidates, labelled by `known_secret`, and a few fixed
 examples, which also keep it trainable on tables without candidates.
 
@@ -26,7 +28,9 @@ SAMPLE = 20_000  # candidates the forest is trained on, drawn by hash
 TREES = 20
 DEPTH = 6
 REDACTED = "[SECRET]"
-RUN = r"([A-Za-z0-9+/_\-]{12,}={0,2})[^A-Za-z0-9+/_=\-]*$"
+NEAR = 256
+# An equals sign that a value follows assigns; others pad the run.
+RUN = r"[A-Za-z0-9+/_\-]{12,}(?:={1,2}(?![A-Za-z0-9+/_=\-]))?"
 # Names that announce a credential, and ordinary word parts a random key rarely holds.
 NAMES = r"(?i)(passw|passwd|pwd|secret|token|api.?key|apikey|access.?key|private.?key|credential|auth)"
 DICTIONARY = (
@@ -47,31 +51,50 @@ EXAMPLES = (
 
 
 def candidates(text: Column) -> Column:
-    """Array of (word, value, before, earlier) of a text's candidates."""
+    """Array of (lead, value, after, before, earlier) of a text's candidates: the word around the value, and the two words before."""
     words = F.split(text, SPACES)
     spots = F.filter(
         F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("i"))),
         lambda s: (F.length(s["word"]) >= MIN_LENGTH) & s["word"].rlike(RUN) & s["word"].rlike(r"[0-9]|[=:].|[A-Z]{16}"),
     )
-    return F.transform(
+    cut = F.transform(
         spots,
         lambda s: F.struct(
-            s["word"].alias("word"),
-            F.regexp_extract(s["word"], RUN, 1).alias("value"),
-            F.coalesce(F.get(words, s["i"] - 1), F.lit("")).alias("before"),
-            F.coalesce(F.get(words, s["i"] - 2), F.lit("")).alias("earlier"),
+            F.regexp_extract_all(s["word"], F.lit(RUN), F.lit(0)).alias("values"),
+            F.split(s["word"], RUN).alias("gaps"),
+            F.coalesce(F.right(F.get(words, s["i"] - 1), F.lit(NEAR)), F.lit("")).alias("before"),
+            F.coalesce(F.right(F.get(words, s["i"] - 2), F.lit(NEAR)), F.lit("")).alias("earlier"),
         ),
     )
+    return F.flatten(
+        F.transform(
+            cut,
+            lambda c: F.transform(
+                c["values"],
+                lambda v, k: F.struct(
+                    # Pieces before the first are null, and left out.
+                    F.concat_ws("", F.get(c["gaps"], k - 1), F.get(c["values"], k - 1), F.get(c["gaps"], k)).alias("lead"),
+                    v.alias("value"),
+                    F.get(c["gaps"], k + 1).alias("after"),
+                    c["before"].alias("before"),
+                    c["earlier"].alias("earlier"),
+                ),
+            ),
+        )
+    )
 
 
-def known_secret(value: Column, word: Column, before: Column, earlier: Column) -> Column:
+def known_secret(lead: Column, value: Column, after: Column, before: Column, earlier: Column) -> Column:
     """The label of a finding: an issuer's format, or a long value given to a credential's name."""
-    named = word.rlike(NAMES.replace("(?i)(", "(?i)^[^=:]*(") + r"[^=:]*[=:]") | (before.rlike(r"^[=:]$") & earlier.rlike(NAMES)) | before.rlike(NAMES + r"\S*[=:]$")
-    return value.rlike(r"^AKIA[0-9A-Z]{16}$") | (named & value.rlike("[0-9]") & (F.length(value) >= 16))
+    inside = lead.rlike(NAMES + r"[^=:&;,]*[=:][^&;,]*$")
+    outside = ~lead.rlike("[=:]") & ((before.rlike(r"^[=:]$") & earlier.rlike(NAMES)) | before.rlike(NAMES + r"\S*[=:]$"))
+    is_name = after.rlike("""^["']?=|^["']:""")
+    return value.rlike(r"^AKIA[0-9A-Z]{16}$") | ((inside | outside) & ~is_name & value.rlike("[0-9]") & (F.length(value) >= 16))
 
 
 def with_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Adds the forest's inputs to (word, value, before, earlier)."""
+    """Adds the forest's inputs to (lead, value, after, before, earlier)."""
+    word = F.concat("lead", "value", "after")
     v, n = F.col("value"), F.greatest(F.length("value"), F.lit(1))
     covered = F.length(F.regexp_replace(F.lower(v), "|".join(sorted(DICTIONARY, key=len, reverse=True)), ""))
 
@@ -89,12 +112,12 @@ def with_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
         "f_vowel_step": share("[aeiouAEIOU](?=[b-df-hj-np-tv-zB-DF-HJ-NP-TV-Z])"),
         "f_repeat": share(r"(.)(?=\1)"),
         "f_dictionary": 1 - covered / n,
-        "f_path": F.regexp_count(F.col("word"), F.lit(r"[/\\.]|://")).cast("double"),
-        "f_mail": F.col("word").contains("@").cast("double"),
-        "f_assigned": (F.col("word").rlike(r"[=:].") | F.col("before").rlike(r"[=:]$")).cast("double"),
-        "f_quoted": F.col("word").rlike("[\"'`]").cast("double"),
-        "f_named": F.concat_ws(" ", "earlier", "before", "word").rlike(NAMES).cast("double"),
-        "f_marked": F.col("word").rlike("[!%*&$#|]").cast("double"),
+        "f_path": F.regexp_count(word, F.lit(r"[/\\.]|://")).cast("double"),
+        "f_mail": word.contains("@").cast("double"),
+        "f_assigned": (F.col("lead").rlike("[=:]") | F.col("before").rlike(r"[=:]$")).cast("double"),
+        "f_quoted": word.rlike("[\"'`]").cast("double"),
+        "f_named": F.concat_ws(" ", "earlier", "before", F.concat("lead", "value")).rlike(NAMES).cast("double"),
+        "f_marked": word.rlike("[!%*&$#|]").cast("double"),
     }
     return df.select("*", *[c.alias(k) for k, c in inputs.items()]), list(inputs)
 
@@ -110,10 +133,13 @@ def scan(documents: DataFrame) -> DataFrame:
         .select("doc_id", "text_hash", "c.*")
     )
     found = cut_lineage(found)
-    sample = found.select("word", "value", "before", "earlier").distinct().orderBy(F.xxhash64("value", "word", "before", "earlier"), "word").limit(SAMPLE)
-    labelled = sample.withColumn("label", known_secret(F.col("value"), F.col("word"), F.col("before"), F.col("earlier")).cast("double"))
-    examples = spark.createDataFrame(EXAMPLES, "before string, word string, earlier string, label int").select(
-        "word", F.regexp_extract("word", RUN, 1).alias("value"), "before", "earlier", F.col("label").cast("double").alias("label")
+    parts = ["lead", "value", "after", "before", "earlier"]
+    sample = found.select(parts).distinct().orderBy(F.xxhash64(*parts), "value", "lead").limit(SAMPLE)
+    labelled = sample.withColumn("label", known_secret(*map(F.col, parts)).cast("double"))
+    examples = (
+        spark.createDataFrame(EXAMPLES, "before string, word string, earlier string, label int")
+        .select(F.explode(candidates(F.concat_ws(" ", "earlier", "before", "word"))).alias("c"), F.col("label").cast("double").alias("label"))
+        .select("c.*", "label")
     )
     training, inputs = with_features(labelled.unionByName(examples))
     assembler = VectorAssembler(inputCols=inputs, outputCol="inputs")
