@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm import decontaminate, jaccard_join, mixing, queries, secretscan, toxicity
@@ -13,10 +14,36 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def same_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """`docs` with (`left_semi`) or without (`left_anti`) the rows whose id is in `ids`."""
-    ids = ids.select(F.col("doc_id").alias("_id"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), how)
+def keyed(docs: DataFrame) -> DataFrame:
+    """Each row as struct `kept`, its text, and as `doc_id` a key of its own: the id, nulls last, then where the row is written.
+
+    Keys are strings in the order of the ids (whole numbers by value, others as text). They are the same
+    each time the frame is read; rows that do not come straight from Parquet are written first.
+    """
+
+    def place(df: DataFrame) -> list[Column]:
+        at = df.metadataColumn("_metadata")
+        return [F.lpad(F.hex(F.xxhash64(at["file_path"])), 16, "0"), F.lpad(F.hex(at["row_index"]), 12, "0")]
+
+    def with_key(df: DataFrame) -> DataFrame:
+        whole = dict(df.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")
+        doc_id = F.lpad(F.hex(F.col("doc_id").cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0") if whole else F.col("doc_id").cast("string")
+        named = F.when(F.col("doc_id").isNull(), "1").otherwise(F.concat(F.lit("0"), doc_id, F.lit("\0")))
+        return df.select(F.struct("*").alias("kept"), F.concat(named, *place(df)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    if docs._jdf.queryExecution().analyzed().children().isEmpty():
+        try:
+            return with_key(docs)
+        except AnalysisException:  # no Parquet, so rows have no place
+            pass
+    at = workspace(docs.sparkSession, "keyed")
+    docs.write.parquet(at)
+    return with_key(docs.sparkSession.read.parquet(at))
+
+
+def without(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The documents of keyed `rows` but those whose key is in `keys`."""
+    return rows.join(keys.select("doc_id"), "doc_id", "left_anti").select("kept.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,15 +54,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of each group of near copies whose id is the smallest."""
-    classes = jaccard_join.near_copy_classes(docs)
-    return same_id(docs, classes.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))), "left_anti")
+    """Of each group of near copies the one document whose id is the smallest; of several with that id, the one written first."""
+    rows = keyed(docs)
+    classes = jaccard_join.near_copy_classes(rows)
+    return without(rows, classes.filter("doc_id <> component_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no more than a trace of benchmark text."""
-    judged = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
-    return same_id(docs, judged.filter("contaminated"), "left_anti")
+    rows = keyed(docs)
+    judged = decontaminate.decontaminate(rows, read(spark, sf_dir, "benchmark"))
+    return without(rows, judged.filter("contaminated"))
 
 
 def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The corpus pipeline against brute force, stage by stage on what the stage before kept."""
 
+import random
+
 import corpus_pipeline as p
 from jobloom.llm import toxicity
 from tests.llm import helpers as h
@@ -62,3 +64,23 @@ def test_odd_rows_and_clashing_columns(spark):
     assert 0 < docs.count() < len(h.odd_rows())
     for _, stage in p.STAGES:
         assert stage(spark, h.documents(spark, []), SF).count() == 0
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(5)
+    words = h.vocabulary(rng)
+    a, b, c, d = (h.sentence(rng, 60, words) for _ in range(4))
+    item = p.read(spark, SF, "benchmark").filter("length(text) > 100").first()["text"]
+    # Two groups of null ids, one with exact repeats of its smallest id, and a clean text beside each bad row of the same id.
+    rows = [(None, a), (None, a + " more"), (None, b), (None, item), (1, c), (1, c), (1, d), (2, c + " more"), (2, item), (3, b), (None, None), (None, None)]
+    docs = h.documents(spark, rows)
+    docs.write.parquet(f"{tmp_path}/rows.parquet")
+    for df in (docs, p.read(spark, str(tmp_path), "rows")):
+        single = p.one_per_group(spark, df, SF)
+        assert single.columns == df.columns
+        kept = [(r["doc_id"], r["text"]) for r in single.collect()]
+        group_a = [r for r in kept if r[1] in (a, a + " more")]
+        assert len(group_a) == 1 and group_a[0][0] is None
+        assert sorted((r for r in kept if r not in group_a), key=str) == sorted([(1, c), (1, d), (2, item), (3, b), (None, None), (None, None)], key=str)
+        clean = [(r["doc_id"], r["text"]) for r in p.drop_contaminated(spark, df, SF).collect()]
+        assert sorted(clean, key=str) == sorted((r for r in rows if r[1] != item), key=str)
