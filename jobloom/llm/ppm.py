@@ -4,9 +4,12 @@ The model is a trie of byte contexts up to `ORDER` bytes long, counted over all
 (texts lower-cased in A-Z, white space as blanks, closed by an end mark). A byte is predicted by its
 longest known context; where that has not seen it, an escape (method C: as many chances as distinct
 successors) leads to the next shorter one, without the symbols the longer one would have given.
-Shorter contexts count in how many longer ones a successor was seen. At most `NODES` successors an
-order stay in the trie, those seen 2**k times or more for the smallest k that fits; what falls off is
-reached by an escape.
+Shorter contexts count in how many longer ones a successor was seen.
+
+The whole trie stays in count tables, one an order. What a byte costs depends on it and the `ORDER`
+bytes before alone, so costs are looked up: those of the most frequent strings of that length (`NODES` at
+most) go to all tasks; the other strings of a document are joined with the costs of all that occur. A
+string that training has not seen gets its cost by joins with the tables of its shorter contexts.
 
 The baseline needs the training count of every word. The most frequent words (`HEAD` at most) go to all tasks;
 all other words of a document are joined with the counts by their 64-bit hashes.
@@ -19,11 +22,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.llm import bytetext as bt
@@ -102,7 +104,7 @@ class Tally:
         self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
-WORD, CONTEXT = 0, 1
+WORD, CONTEXT, DOCUMENT = 0, 1, 2
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,19 +117,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from contexts.drain()
 
 
-@dataclass
-class Level:
-    """One order of the trie: successors (context and byte) with counts, and its contexts."""
-
-    pairs: np.ndarray
-    counts: np.ndarray
-    contexts: np.ndarray
-    totals: np.ndarray
-    kinds: np.ndarray
-    below_totals: np.ndarray | None = None  # of the next shorter context, without this one's successors
-    below_kinds: np.ndarray | None = None
-
-
 def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place, known) of keys in a sorted table."""
     if not len(table):
@@ -136,108 +125,149 @@ def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-def low_bytes(keys: np.ndarray, n: int) -> np.ndarray:
-    return keys & np.uint64((1 << (8 * n)) - 1)
+def low_bytes(key: Column, n: int) -> Column:
+    return key.bitwiseAND(F.lit((1 << (8 * n)) - 1))
 
 
-def build(tables: list[tuple[np.ndarray, np.ndarray]]) -> list[Level]:
-    """The trie from (pairs, counts) of each order, shortest first."""
-    levels: list[Level] = []
-    for order, (pairs, counts) in enumerate(tables):
-        sort = np.argsort(pairs)
-        pairs, counts = pairs[sort], counts[sort].astype(np.float64)
-        contexts, inverse = np.unique(pairs >> np.uint64(8), return_inverse=True)
-        level = Level(pairs, counts, contexts, np.bincount(inverse, weights=counts, minlength=len(contexts)), np.bincount(inverse, minlength=len(contexts)).astype(float))
-        if order:
-            short = levels[-1]
-            at, known = find(short.contexts, low_bytes(contexts, order - 1))
-            totals = np.where(known, short.totals[at] if len(short.totals) else 0, 0.0)
-            kinds = np.where(known, short.kinds[at] if len(short.kinds) else 0, 0.0)
-            pair_at, pair_known = find(short.pairs, low_bytes(pairs, order))
-            taken = np.where(pair_known, short.counts[pair_at] if len(short.counts) else 0, 0.0)
-            level.below_totals = totals - np.bincount(inverse, weights=taken, minlength=len(contexts))
-            level.below_kinds = kinds - np.bincount(inverse, weights=pair_known, minlength=len(contexts))
-        levels.append(level)
-    return levels
+def context(key: Column) -> Column:
+    return F.shiftright(key, 8)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    at = workspace(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
 
 
-def log_probabilities(levels: list[Level], keys: np.ndarray) -> np.ndarray:
-    """log10 probability of each key's byte after its context."""
-    out = np.zeros(len(keys))
-    open_ = np.arange(len(keys))
-    # Set where the longer context was known: what its shorter one has left.
-    left_total, left_kinds = np.full(len(keys), -1.0), np.zeros(len(keys))
-    for order in range(len(levels) - 1, -1, -1):
-        level = levels[order]
-        pair = low_bytes(keys[open_], order + 1)
-        at, known = find(level.contexts, pair >> np.uint64(8))
-        reached = left_total[open_] >= 0
-        total = np.where(reached, left_total[open_], np.where(known, level.totals[at] if len(level.totals) else 0, 0.0))
-        kinds = np.where(reached, left_kinds[open_], np.where(known, level.kinds[at] if len(level.kinds) else 0, 0.0))
-        pair_at, seen = find(level.pairs, pair)
-        counts = np.where(seen, level.counts[pair_at] if len(level.counts) else 0, 0.0)
-        some = known & (total + kinds > 0)
-        hit = some & seen
-        chances = np.where(some, total + kinds, 1.0)
-        out[open_[hit]] += np.log10(counts[hit] / chances[hit])
-        miss = some & ~seen
-        out[open_[miss]] += np.log10(kinds[miss] / chances[miss])
+def build(longest: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """Per order, shortest first: successors (key, count), and contexts (context, total, kinds, below_total, below_kinds).
+
+    The last two are of the next shorter context, without this one's successors: each of them is a
+    successor there too, since the trie is whole.
+    """
+    pairs = [longest]
+    for order in range(ORDER - 1, -1, -1):
+        shorter = pairs[0].groupBy(low_bytes(F.col("key"), order + 1).alias("key")).agg(F.count(F.lit(1)).alias("count"))
+        pairs.insert(0, stored(shorter, f"order-{order}"))
+    levels: list[tuple[DataFrame, DataFrame]] = []
+    for order, level in enumerate(pairs):
+        own = level.select("key", "count", context(F.col("key")).alias("context"))
         if order:
-            below = level.below_totals[at] if len(level.totals) else np.zeros(len(at))
-            left_total[open_] = np.where(known, below, -1.0)
-            left_kinds[open_] = np.where(known, level.below_kinds[at] if len(level.kinds) else 0, 0.0)
+            below, of_below = levels[-1]
+            taken = below.select(F.col("key").alias("short"), F.col("count").alias("taken"))
+            own = own.withColumn("short", low_bytes(F.col("key"), order)).join(taken, "short", "left")
+            sums = own.groupBy("context").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("taken").alias("taken"))
+            rest = of_below.select(F.col("context").alias("short"), F.col("total").alias("all"), F.col("kinds").alias("all_kinds"))
+            contexts = (
+                sums.withColumn("short", low_bytes(F.col("context"), order - 1))
+                .join(rest, "short", "left")
+                .select("context", "total", "kinds", (F.col("all") - F.col("taken")).alias("below_total"), (F.col("all_kinds") - F.col("kinds")).alias("below_kinds"))
+            )
         else:
-            # Beyond the shortest context all symbols it lacks are equally likely.
-            rest = SYMBOLS - (level.kinds[0] if len(level.kinds) else 0)
-            out[open_[~hit]] += -math.log10(rest)
-        open_ = open_[~hit]
-    return out
+            sums = own.groupBy("context").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("kinds"))
+            contexts = sums.select("*", F.lit(0).cast("bigint").alias("below_total"), F.lit(0).cast("bigint").alias("below_kinds"))
+        levels.append((level, stored(contexts, f"contexts-{order}")))
+    return levels
+
 
+def seen_costs(levels: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(key, count, value): log10 probability of each string that training has seen."""
+    pairs, contexts = levels[-1]
+    own = pairs.withColumn("context", context(F.col("key"))).join(contexts.select("context", "total", "kinds"), "context")
+    return own.select("key", "count", F.log10(F.col("count") / (F.col("total") + F.col("kinds"))).alias("value"))
 
-def _score(levels, head: tuple[np.ndarray, np.ndarray], n_train: int, n_words: int):
-    """Task function: a row per document with all but its rarer words, and a row per rarer word of a document."""
+
+def unseen_costs(levels: list[tuple[DataFrame, DataFrame]], keys: DataFrame) -> DataFrame:
+    """(key, value): log10 probability of the given distinct strings, by escapes down to the order that has the byte."""
+    none = F.lit(None).cast("bigint")
+    # `left_total` is null until a context was known; then it and `left_kinds` are what the shorter one has left.
+    state = keys.select("key", F.lit(0.0).alias("value"), none.alias("left_total"), none.alias("left_kinds"), F.lit(False).alias("done"))
+    beyond = math.log10(max(SYMBOLS - levels[0][0].count(), 1))
+    for order in range(ORDER, -1, -1):
+        pairs, contexts = levels[order]
+        pairs = pairs.select(F.col("key").alias("pair"), F.col("count").alias("times"))
+        if order < 2:  # 2**16 contexts and bytes at most, met by very many strings each
+            pairs, contexts = F.broadcast(pairs), F.broadcast(contexts)
+        low = low_bytes(F.col("key"), order + 1)
+        joined = (
+            state.withColumns({"pair": low, "context": context(low)}).join(contexts, "context", "left").join(pairs, "pair", "left")
+        )
+        total = F.coalesce("left_total", "total", F.lit(0))
+        kinds = F.coalesce("left_kinds", "kinds", F.lit(0))
+        chances = total + kinds
+        some = ~F.col("done") & (chances > 0)
+        hit = some & F.col("times").isNotNull()
+        step = F.when(hit, F.log10(F.col("times") / chances)).when(some, F.log10(kinds / chances)).otherwise(0.0)
+        if not order:  # beyond the shortest context all symbols it lacks are equally likely
+            step = step - F.when(F.col("done") | hit, 0.0).otherwise(beyond)
+        state = joined.select(
+            "key",
+            (F.col("value") + step).alias("value"),
+            F.col("below_total").alias("left_total"),
+            F.col("below_kinds").alias("left_kinds"),
+            (F.col("done") | hit).alias("done"),
+        )
+    return state.select("key", "value")
+
+
+def rarer(keys: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text, times) of the distinct pairs."""
+    order = np.lexsort((keys, text))
+    keys, text = keys[order], text[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
+    first = np.flatnonzero(new)
+    return keys[first], text[first], np.diff(np.append(first, len(keys))).astype(np.int64)
+
+
+def _score(costs, head, n_train: int, n_words: int):
+    """Task function: a row per document with all but its rarer words and strings, and a row per rarer one of a document."""
     smooth = math.log10(n_train + 0.1 * (n_words + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (words, counts) = levels.value, head.value
+        (strings, values), (words, counts) = costs.value, head.value
         for batch in batches:
             ids, rows = batch.column(0), batch.column(1)
             for c in bt.chunks(batch.column(2)):
                 keys, text = context_keys(c)
-                distinct, inverse = np.unique(keys, return_inverse=True)
-                score = np.bincount(text, weights=log_probabilities(model, distinct)[inverse], minlength=c.n)
+                at, common = find(strings, keys)
+                score = np.bincount(text[common], weights=values[at[common]], minlength=c.n).astype(float)
+                rare = [(CONTEXT, 0.0, *rarer(keys[~common], text[~common]))]
                 keys, text = word_keys(c, bt.LOWER[c.data])
                 at, common = find(words, keys)
                 n_tokens = np.bincount(text, minlength=c.n)
                 known = np.bincount(text[common], minlength=c.n)
                 base = np.bincount(text[common], weights=np.log10(counts[at[common]] + 0.1), minlength=c.n) - n_tokens * smooth
+                rare.append((WORD, math.log10(0.1), *rarer(keys[~common], text[~common])))
                 row = rows.slice(c.lo, c.n)
                 place = np.asarray(row).astype(np.uint64)
                 # Rows of documents carry a key of their own, so that the join deals them evenly.
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(c.lo, c.n), row, pa.array(bt.mix(place).view(np.int64)), pa.array(np.zeros(c.n, np.int64)),
+                    [ids.slice(c.lo, c.n), row, pa.array(np.full(c.n, DOCUMENT, np.int32)), pa.array(bt.mix(place).view(np.int64)), pa.array(np.zeros(c.n, np.int64)),
                      pa.array(n_tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)],
                     names=OUT,
                 )
-                keys, text = keys[~common], text[~common]
-                order = np.lexsort((keys, text))
-                keys, text = keys[order], text[order]
-                new = np.ones(len(keys), bool)
-                new[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(keys)))
-                own = pa.array(c.lo + text[first])
-                zeros = np.zeros(len(first))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(own), rows.take(own), pa.array(keys[first].view(np.int64)), pa.array(times.astype(np.int64)),
-                     pa.array(zeros.astype(np.int64)), pa.array(zeros.astype(np.int64)), pa.array(times * math.log10(0.1)), pa.array(zeros)],
-                    names=OUT,
-                )
+                for kind, cost, keys, text, times in rare:
+                    own, zeros = pa.array(c.lo + text), np.zeros(len(keys))
+                    whole = pa.array(zeros.astype(np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(own), rows.take(own), pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(times),
+                         whole, whole, pa.array(times * cost), pa.array(zeros)],
+                        names=OUT,
+                    )
 
     return run
 
 
-OUT = ["doc_id", "row", "key", "times", "n_tokens", "n_known", "base", "score"]
+OUT = ["doc_id", "row", "kind", "key", "times", "n_tokens", "n_known", "base", "score"]
+
+
+def sorted_table(df: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, values) of a frame of bounded size, by key."""
+    top = df.select("key", column).toArrow()
+    key = top.column("key").to_numpy().view(np.uint64)
+    sort = np.argsort(key)
+    return key[sort], top.column(column).to_numpy()[sort]
 
 
 def score_documents(documents: DataFrame) -> DataFrame:
@@ -259,35 +289,32 @@ def score_documents(documents: DataFrame) -> DataFrame:
     words = counted.filter(F.col("kind") == WORD).select("key", "count")
     n_train, n_words = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
 
-    level = counted.filter(F.col("kind") == CONTEXT).select("key", "count")
-    tables: list[tuple[np.ndarray, np.ndarray]] = []
-    for order in range(ORDER, -1, -1):
-        if order < ORDER:
-            mask = (1 << (8 * (order + 1))) - 1
-            level = level.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.count(F.lit(1)).alias("count"))
-        top = most_frequent(level, NODES).toArrow()
-        tables.insert(0, (top.column("key").to_numpy().view(np.uint64), top.column("count").to_numpy()))
-    model = spark.sparkContext.broadcast(build(tables))
-    top = most_frequent(words, HEAD).toArrow()
-    key = top.column("key").to_numpy().view(np.uint64)
-    sort = np.argsort(key)
-    head = spark.sparkContext.broadcast((key[sort], top.column("count").to_numpy()[sort]))
-
-    scored = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(
-        _score(model, head, n_train, n_words),
-        f"doc_id {kind}, row bigint, key bigint, times bigint, n_tokens bigint, n_known bigint, base double, score double",
+    levels = build(counted.filter(F.col("kind") == CONTEXT).select("key", "count"))
+    seen = stored(seen_costs(levels), "costs")
+    costs = spark.sparkContext.broadcast(sorted_table(most_frequent(seen, NODES), "value"))
+    head = spark.sparkContext.broadcast(sorted_table(most_frequent(words, HEAD), "count"))
+
+    scored = stored(
+        docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(
+            _score(costs, head, n_train, n_words),
+            f"doc_id {kind}, row bigint, kind int, key bigint, times bigint, n_tokens bigint, n_known bigint, base double, score double",
+        ),
+        "scored",
     )
+    unseen = scored.filter(F.col("kind") == CONTEXT).select("key").distinct().join(seen, "key", "left_anti")
     # Of the words outside the head, those seen in training replace their share of an unknown word.
-    seen = F.col("count").isNotNull()
-    gain = F.when(seen, F.col("times") * (F.log10(F.col("count") + 0.1) - F.lit(math.log10(0.1)))).otherwise(0.0)
+    gain = words.select(F.lit(WORD).alias("kind"), "key", (F.log10(F.col("count") + 0.1) - F.lit(math.log10(0.1))).alias("value"))
+    strings = seen.select("key", "value").union(unseen_costs(levels, unseen)).select(F.lit(CONTEXT).alias("kind"), "key", "value")
+    worth = F.coalesce(F.col("times") * F.col("value"), F.lit(0.0))
+    word = F.col("kind") == WORD
     total = (
-        scored.join(words, "key", "left")
+        scored.join(gain.union(strings), ["kind", "key"], "left")
         .groupBy("doc_id", "row")
         .agg(
             F.sum("n_tokens").alias("n_tokens"),
-            F.sum(F.col("n_known") + F.when(seen, F.col("times")).otherwise(0)).alias("n_known"),
-            F.sum(F.col("base") + gain).alias("base_score"),
-            F.sum("score").alias("score"),
+            F.sum(F.col("n_known") + F.when(word & F.col("value").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
+            F.sum(F.col("base") + F.when(word, worth).otherwise(0.0)).alias("base_score"),
+            F.sum(F.col("score") + F.when(F.col("kind") == CONTEXT, worth).otherwise(0.0)).alias("score"),
         )
     )
     return total.select(

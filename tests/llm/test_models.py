@@ -230,6 +230,16 @@ def test_ppm_and_baseline(spark, monkeypatch):
         assert a[5:] == (pytest.approx(b[5]), pytest.approx(b[6]))
 
 
+def test_ppm_is_whole_beyond_what_is_sent_around(spark, monkeypatch):
+    rows = [r for r in h.odd_rows() if r[0] not in (40, 41)]
+    whole = h.by_id(ppm.score_documents(h.documents(spark, rows)).collect())
+    monkeypatch.setattr(ppm, "NODES", 30)
+    few = h.by_id(ppm.score_documents(h.documents(spark, rows)).collect())
+    assert [r[:5] for r in few] == [r[:5] for r in whole]
+    for a, b in zip(few, whole):
+        assert a[5:] == (pytest.approx(b[5]), pytest.approx(b[6]))
+
+
 def test_ppm_probabilities_add_up():
     texts = ["abracadabra", "abrakadabra", "zzz", ""]
     slow = SlowPpm([padded(t) for t in texts], ppm.ORDER)
