@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm import decontaminate as contamination
-from jobloom.llm import jaccard_join, mixing, ppm, quality, secretscan, spotsigs, sql, suffix_dedup, toxicity, urlfilter
+from jobloom.llm import jaccard_join, mixing, ppm, quality, secretscan, spotsigs, sql, suffix_dedup, token_align, toxicity, urlfilter
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +72,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The groups are hashed before they are stored, being several times longer than the texts.
+    aligned = token_align.align_documents(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return token_align.with_counts(aligned.withColumn("groups_sha256", digest).drop("groups"))
+
+
 QUERIES: dict[str, Run] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
@@ -83,6 +90,7 @@ QUERIES: dict[str, Run] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mix": op9_mix,
     "op10_secrets": op10_secrets,
+    "op11_token_alignment": op11_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
