@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm import decontaminate as contamination
-from jobloom.llm import jaccard_join, mixing, ppm, quality, secretscan, spotsigs, sql, suffix_dedup, token_align, toxicity, urlfilter
+from jobloom.llm import jaccard_join, minhash_join, mixing, ppm, quality, secretscan, spotsigs, sql, suffix_dedup, token_align, toxicity, turn_repair, urlfilter
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +79,14 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.with_counts(aligned.withColumn("groups_sha256", digest).drop("groups"))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Run] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
@@ -91,6 +99,8 @@ QUERIES: dict[str, Run] = {
     "op9_mix": op9_mix,
     "op10_secrets": op10_secrets,
     "op11_token_alignment": op11_token_alignment,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_minhash": op13_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -98,4 +108,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_jaccard": sql.JACCARD,
     "op8_suffix_dedup": sql.SUFFIX_DEDUP,
     "op9_mix": sql.MIX,
+    "op13_minhash": sql.MINHASH,
 }

@@ -57,6 +57,31 @@ from d left join n using (doc_id)
 left join (select doc_id, min(other) as component_id from reach group by doc_id) c using (doc_id)"""
 
 
+MINHASH = rf"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+s as (
+  select distinct doc_id, array_to_string(w[p : p + m - 1], ' ') as g
+  from (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as p
+        from (select *, least(4, len(w)) as m from d where len(w) > 0) a) b),
+n as (select doc_id, count(*) as n from s group by doc_id),
+links as (
+  select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.g = y.g and x.doc_id < y.doc_id
+                    group by 1, 2) p
+  join n na on na.doc_id = a join n nb on nb.doc_id = b
+  where 100 * c >= 80 * (na.n + nb.n - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(doc_id, other) as (
+  select doc_id, doc_id from n
+  union
+  select r.doc_id, e.b from reach r join both_ways e on e.a = r.other)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.component_id, d.doc_id) as component_id,
+       d.doc_id = coalesce(c.component_id, d.doc_id) as kept
+from d left join n using (doc_id)
+left join (select doc_id, min(other) as component_id from reach group by doc_id) c using (doc_id)"""
+
+
 SUFFIX_DEDUP = """
 with d as (
   select doc_id, hex(encode(coalesce(text, ''))) as h, cast(octet_length(encode(coalesce(text, ''))) as bigint) as n

@@ -18,9 +18,11 @@ plain text. Repeated rows each count, ids may be null, other columns of the inpu
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,10 @@ class Vocabulary:
         self.spaced = np.array([s[:1] == b" " for s in self.spelled], bool)
 
 
+# Fixed values of byte-level vocabularies: the pattern that splits a text before the merges.
+BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class Tokenizers:
     """Both tokenizers from the contents of their files, with their vocabularies."""
 
@@ -74,6 +80,7 @@ class Tokenizers:
             known = all(ch in letters for ch in token)
             spelled[i] = bytes(letters[ch] for ch in token) if known else token.encode()
         self.of_a = Vocabulary(spelled)
+        self.ranked = self._by_ranks(json.loads(byte_bpe))
         self.b = SentencePieceProcessor(model_proto=piece_bpe)
         pieces = range(self.b.get_piece_size())
         self.of_b = Vocabulary(
@@ -83,13 +90,30 @@ class Tokenizers:
             ]
         )
 
+    def _by_ranks(self, file: dict):
+        """The same byte-level BPE by the ranks of its vocabulary, three times as fast, where its merges stand in the order of their ids."""
+        split, model = file.get("pre_tokenizer") or {}, file["model"]
+        plain = file.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
+        ids = [model["vocab"].get(left + right, -1) for left, right in merges]
+        if not plain or not ids or ids[0] < 0 or any(y <= x for x, y in zip(ids, ids[1:])):
+            return None
+        import tiktoken
+
+        ranks = {self.of_a.spelled[i]: i for i in model["vocab"].values() if i <= ids[-1]}
+        return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both, empty for texts that the tokens don't spell."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        spaced = [" " + t for t in texts]
+        if self.ranked is not None:
+            a = list(map(self.ranked.encode_ordinary, spaced))
+        else:
+            a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
         b = self.b.encode(texts, num_threads=1)
         spell_a, spell_b = self.of_a.spelled.__getitem__, self.of_b.spelled.__getitem__
         for i, text in enumerate(texts):
-            want = b" " + text.encode()
+            want = spaced[i].encode()
             if not text or b"".join(map(spell_a, a[i])) != want or b"".join(map(spell_b, b[i])) != want:
                 a[i], b[i] = [], []
         return a, b
@@ -106,25 +130,44 @@ def loaded(byte_bpe: str, piece_bpe: bytes) -> Tokenizers:
     return _LOADED[key]
 
 
-def align_window(a: list[int], b: list[int], length_a: list[int], length_b: list[int]) -> tuple[str, int, list[int]]:
-    """Groups as text, their number, and the links (id of A in the high half, of B in the low) of one window."""
-    groups, links = [], []
-    i = j = start_a = start_b = 0
-    end_a, end_b = length_a[0], length_b[0]
-    while True:
-        links.append(a[i] << 32 | b[j])
-        done_a, done_b = end_a <= end_b, end_b <= end_a
-        if done_a and done_b:
-            groups.append(f"{','.join(map(str, a[start_a : i + 1]))}|{','.join(map(str, b[start_b : j + 1]))}")
-            start_a, start_b = i + 1, j + 1
-            if start_a == len(a):
-                return ";".join(groups), len(groups), links
-        if done_a:
-            i += 1
-            end_a += length_a[i]
-        if done_b:
-            j += 1
-            end_b += length_b[j]
+def merged(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The distinct values of two ascending arrays; the stable sort merges runs in linear time."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return both[np.append(True, both[1:] != both[:-1])[: len(both)]]
+
+
+def shared_values(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The values that two strictly ascending arrays have in common."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return both[1:][both[1:] == both[:-1]]
+
+
+def align_windows(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, of_a: Vocabulary, of_b: Vocabulary) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Windows cut_a[i]..cut_a[i + 1] of ids `a` with those of `b`: their groups as text, their numbers of groups and links, all links.
+
+    Links have the id of A in their high half and that of B in the low one. The windows are laid end to end, so every offset
+    where tokens end closes one link, of the tokens that hold the byte before it, and an offset where both end closes a group.
+    """
+    end_a, end_b = np.cumsum(of_a.length[a]), np.cumsum(of_b.length[b])
+    ends = merged(end_a, end_b)
+    links = a[np.searchsorted(end_a, ends)].astype(np.int64) << 32 | b[np.searchsorted(end_b, ends)]
+    window_ends = end_a[cut_a[1:] - 1]
+    n_links = np.diff(np.searchsorted(ends, window_ends, "right"), prepend=0)
+    shared = shared_values(end_a, end_b)
+    n_groups = np.diff(np.searchsorted(shared, window_ends, "right"), prepend=0)
+    group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
+    # Each id is written with the sign that follows it; the last of a window is followed by none.
+    sign_a = np.where(np.append(group_a[1:] != group_a[:-1], True), "|", ",")
+    sign_b = np.where(np.append(group_b[1:] != group_b[:-1], True), ";", ",")
+    sign_b[cut_b[1:] - 1] = ""
+    order = np.lexsort((np.repeat([0, 1], [len(a), len(b)]), np.concatenate([group_a, group_b])))
+    names = list(map(str, np.concatenate([a, b])[order].tolist()))
+    signs = np.concatenate([sign_a, sign_b])[order].tolist()
+    written = list(map(str.__add__, names, signs))
+    at = (cut_a + cut_b).tolist()
+    return ["".join(written[lo:hi]) for lo, hi in zip(at, at[1:])], n_groups, n_links, links
 
 
 class Aligner:
@@ -141,44 +184,49 @@ class Aligner:
         self.links: list[bytes] = []
         self.tokens = 0
 
-    def _learn(self, key: tuple[bytes, bytes]) -> int:
-        a, b = (np.frombuffer(k, np.int32) for k in key)
-        of = self.tokenizers
-        text, n, links = align_window(a.tolist(), b.tolist(), of.of_a.length[a].tolist(), of.of_b.length[b].tolist())
-        self.groups.append(text)
-        self.n_groups.append(n)
-        self.links.append(np.array(links, np.int64).tobytes())
+    def _learn(self, keys: list[tuple[bytes, bytes]]) -> None:
+        """Align windows not met so far."""
+        a, b = (np.frombuffer(b"".join(k[side] for k in keys), np.int32) for side in (0, 1))
+        cut_a, cut_b = (np.concatenate([[0], np.cumsum([len(k[side]) // 4 for k in keys])]) for side in (0, 1))
+        groups, n_groups, n_links, links = align_windows(a, b, cut_a, cut_b, self.tokenizers.of_a, self.tokenizers.of_b)
+        raw, at = links.tobytes(), (8 * np.concatenate([[0], np.cumsum(n_links)])).tolist()
+        self.groups += groups
+        self.n_groups += n_groups.tolist()
+        self.links += [raw[lo:hi] for lo, hi in zip(at, at[1:])]
         self.tokens += len(a) + len(b)
-        self.known[key] = len(self.groups) - 1
-        return len(self.groups) - 1
 
     def align(self, texts: list[str]) -> pa.RecordBatch:
         """Per text: n_a, n_b, n_groups, n_links, groups, and its distinct links with how often each occurs."""
         if self.tokens > MEMO_TOKENS:
             self.forget()
         ids_a, ids_b = self.tokenizers.encode(texts)
-        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-        a, b = (np.fromiter((i for x in ids for i in x), np.int32, n) for ids, n in ((ids_a, n_a.sum()), (ids_b, n_b.sum())))
+        n_a, n_b = (np.array(list(map(len, ids)), np.int64) for ids in (ids_a, ids_b))
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int32, n) for ids, n in ((ids_a, n_a.sum()), (ids_b, n_b.sum())))
         of_a, of_b = self.tokenizers.of_a, self.tokenizers.of_b
         # Offsets run on through the texts, whose bytes are the same in both.
         start_a, start_b = (np.concatenate([[0], np.cumsum(v.length[x])]) for v, x in ((of_a, a), (of_b, b)))
         first_a = np.concatenate([[0], np.cumsum(n_a)])
-        spaced = np.intersect1d(start_a[:-1][of_a.spaced[a]], start_b[:-1][of_b.spaced[b]], assume_unique=True)
-        anchors = np.union1d(spaced, start_a[first_a[:-1][n_a > 0]])
+        spaced = shared_values(start_a[:-1][of_a.spaced[a]], start_b[:-1][of_b.spaced[b]])
+        anchors = merged(spaced, start_a[first_a[:-1][n_a > 0]])
         cut_a = np.append(np.searchsorted(start_a, anchors), len(a))
         cut_b = np.append(np.searchsorted(start_b, anchors), len(b))
         raw_a, raw_b = a.tobytes(), b.tobytes()
         at_a, at_b = (4 * cut_a).tolist(), (4 * cut_b).tolist()
-        known, windows = self.known.get, []
-        for key in zip(map(raw_a.__getitem__, map(slice, at_a, at_a[1:])), map(raw_b.__getitem__, map(slice, at_b, at_b[1:])), strict=True):
-            at = known(key)
-            windows.append(self._learn(key) if at is None else at)
+        keys = list(zip(map(raw_a.__getitem__, map(slice, at_a, at_a[1:])), map(raw_b.__getitem__, map(slice, at_b, at_b[1:]))))
+        windows = list(map(self.known.get, keys))
+        new = [key for key, at in zip(keys, windows) if at is None]
+        if new:
+            new = list(dict.fromkeys(new))
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self._learn(new)
+            windows = list(map(self.known.__getitem__, keys))
         first = np.searchsorted(cut_a[:-1], first_a)
-        groups = [";".join(map(self.groups.__getitem__, windows[lo:hi])) for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        written = list(map(self.groups.__getitem__, windows))
+        groups = [";".join(written[lo:hi]) for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
         used, place = np.unique(np.array(windows, np.int64), return_inverse=True)
-        raw = [self.links[u] for u in used.tolist()]
-        size = np.array([len(r) // 8 for r in raw], np.int64)
+        raw = list(map(self.links.__getitem__, used.tolist()))
+        size = np.array(list(map(len, raw)), np.int64) // 8
         codes, rank = np.unique(np.frombuffer(b"".join(raw), np.int64), return_inverse=True)
         begin = np.cumsum(size) - size
         per_window = size[place]

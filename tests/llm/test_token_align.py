@@ -101,6 +101,16 @@ def test_empty_table(spark):
     assert ta.align_tokenizers(h.documents(spark, [])).collect() == []
 
 
+def test_ranks_give_the_same_ids(tokenizers):
+    rng = random.Random(2)
+    letters = [chr(c) for c in [*range(9, 127), *range(0xA0, 0x180), *range(0x400, 0x460), 0x85, 0x2028, 0x3000, 0x4E00, 0x1F600]]
+    spelled = [s.decode("utf-8", "ignore") for s in tokenizers.of_a.spelled]
+    words = ["".join(rng.choice(letters if rng.random() < 0.5 else "etaoin shrdlu") for _ in range(rng.randint(1, 30))) for _ in range(20_000)]
+    words += spelled + [rng.choice(spelled) + rng.choice(spelled) for _ in range(20_000)] + ["<|endoftext|>", "a" * 5000]
+    by_merges = [e.ids for e in tokenizers.a.encode_batch_fast(words, add_special_tokens=False)]
+    assert [tokenizers.ranked.encode_ordinary(w) for w in words] == by_merges
+
+
 def test_links_pack_and_unpack():
     import numpy as np
     import pyarrow as pa
