@@ -57,6 +57,14 @@ class Vocabulary:
     def __post_init__(self) -> None:
         self.length = np.array([len(s) for s in self.spelled], np.int64)
         self.spaced = np.array([s[:1] == b" " for s in self.spelled], bool)
+        self.bytes = np.frombuffer(b"".join(self.spelled), np.uint8)
+        self.begin = np.cumsum(self.length) - self.length
+
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all ids, one after another."""
+        size = self.length[ids]
+        end = np.cumsum(size)
+        return self.bytes[np.repeat(self.begin[ids] - end + size, size) + np.arange(end[-1] if len(end) else 0)]
 
 
 # Fixed values of byte-level vocabularies: the pattern that splits a text before the merges.
@@ -103,20 +111,31 @@ class Tokenizers:
         ranks = {self.of_a.spelled[i]: i for i in model["vocab"].values() if i <= ids[-1]}
         return tiktoken.Encoding("ranked", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both, empty for texts that the tokens don't spell."""
+    def encode(self, texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """(ids of all texts, how many each has) of both, none for texts that the tokens don't spell."""
         spaced = [" " + t for t in texts]
         if self.ranked is not None:
             a = list(map(self.ranked.encode_ordinary, spaced))
         else:
             a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
         b = self.b.encode(texts, num_threads=1)
-        spell_a, spell_b = self.of_a.spelled.__getitem__, self.of_b.spelled.__getitem__
-        for i, text in enumerate(texts):
-            want = spaced[i].encode()
-            if not text or b"".join(map(spell_a, a[i])) != want or b"".join(map(spell_b, b[i])) != want:
-                a[i], b[i] = [], []
-        return a, b
+        want = [s.encode() for s in spaced]
+        size = np.array(list(map(len, want)), np.int64)
+        ok = size > 1
+        sides = []
+        for vocabulary, ids in ((self.of_a, a), (self.of_b, b)):
+            n = np.array(list(map(len, ids)), np.int64)
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, n.sum())
+            owner = np.repeat(np.arange(len(texts)), n)
+            ok &= np.bincount(owner, vocabulary.length[flat], len(texts)) == size
+            sides.append((vocabulary, flat, n, owner))
+        for vocabulary, flat, _, owner in sides:
+            spelled = vocabulary.spell(flat[ok[owner]])
+            wrong = np.flatnonzero(spelled != np.frombuffer(b"".join(w for w, good in zip(want, ok) if good), np.uint8))
+            good = np.flatnonzero(ok)
+            ok[good[np.searchsorted(np.cumsum(size[good]), wrong, "right")]] = False
+        (_, flat_a, n_a, owner_a), (_, flat_b, n_b, owner_b) = sides
+        return (flat_a[ok[owner_a]], np.where(ok, n_a, 0)), (flat_b[ok[owner_b]], np.where(ok, n_b, 0))
 
 
 _LOADED: dict[tuple[int, int], Tokenizers] = {}
@@ -199,9 +218,7 @@ class Aligner:
         """Per text: n_a, n_b, n_groups, n_links, groups, and its distinct links with how often each occurs."""
         if self.tokens > MEMO_TOKENS:
             self.forget()
-        ids_a, ids_b = self.tokenizers.encode(texts)
-        n_a, n_b = (np.array(list(map(len, ids)), np.int64) for ids in (ids_a, ids_b))
-        a, b = (np.fromiter(chain.from_iterable(ids), np.int32, n) for ids, n in ((ids_a, n_a.sum()), (ids_b, n_b.sum())))
+        (a, n_a), (b, n_b) = self.tokenizers.encode(texts)
         of_a, of_b = self.tokenizers.of_a, self.tokenizers.of_b
         # Offsets run on through the texts, whose bytes are the same in both.
         start_a, start_b = (np.concatenate([[0], np.cumsum(v.length[x])]) for v, x in ((of_a, a), (of_b, b)))
