@@ -167,13 +167,11 @@ def matcher_chain(spark: SparkSession, sf: str) -> DataFrame:
     select title, code, assigned_title, edits from (
       select t.title, l.code, l.title as assigned_title, levenshtein(t.title, l.title) as edits,
              row_number() over (partition by t.title order by levenshtein(t.title, l.title), l.ord) as rn
-      from (select distinct title from v_title_raw) t join v_lookup l
-        on l.title <> t.title and abs(length(l.title) - length(t.title)) <= 2
-           and levenshtein(t.title, l.title) <= 2) x
+      from (select distinct title from v_title_raw) t join v_lookup l on l.title <> t.title) x
     where rn = 1""",
 )
 def fuzzy_match(spark: SparkSession, sf: str) -> DataFrame:
-    match = matching.fuzzy_matcher(inputs.lookup(spark, sf), max_edits=2, exclude_equal=True)
+    match = matching.fuzzy_matcher(inputs.lookup(spark, sf), exclude_equal=True)
     titles = inputs.title_raw(spark, sf).select("title").distinct().transform(match)
     return titles.withColumn("edits", F.col("edits").cast("bigint"))
 

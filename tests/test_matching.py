@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from jobloom.operators import matching
@@ -87,3 +88,45 @@ def test_segments_are_the_pieces_between_punctuation(spark):
     title = "Chef / cook, (nights) é ok"
     got = spark.createDataFrame([(title,)], "t string").select(matching.title_segments(F.col("t")).alias("s")).first()["s"]
     assert set(got) == {s.strip() for s in re.split(r"[^0-9a-zA-Z\s]", title)}
+
+
+def closest(titles, lookup, exclude_equal=False):
+    """{title: (edits, ord)} by comparing every title with every lookup title."""
+    out = {}
+    for t in titles:
+        best = min(((edits(t, k), o) for k, _, o in lookup if not (exclude_equal and k == t)), default=None)
+        if best:
+            out[t] = best
+    return out
+
+
+@pytest.mark.parametrize("exclude_equal", [False, True])
+@pytest.mark.parametrize("seed", [3, 4])
+def test_unlimited_fuzzy_matches_are_the_best_of_all(spark, seed, exclude_equal):
+    rng = random.Random(seed)
+    words = ["nurse", "senior", "welder", "data", "clerk", "an", "na", "aaaa", "of", "engineer", "night shift", "q"]
+    lookup = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(40)}) + ["a", "aa", ""]
+    lookup = [(t, f"c{i}", i) for i, t in enumerate(lookup)]
+    titles = {"", "a", "zzzz", "0123456789012345678901234567890123456789", "xyzzy plugh", "welders of night", "aaaaaaaaaaaaaaaaaa"}
+    for t, _, _ in lookup[::2]:
+        letters = list(t)
+        for _ in range(rng.randint(0, 12)):
+            letters.insert(rng.randint(0, len(letters)), rng.choice("abnsé w"))
+            if rng.random() < 0.5:
+                letters.pop(rng.randrange(len(letters)))
+        titles |= {"".join(letters), t}
+    known = spark.createDataFrame(lookup, "title string, code string, ord int")
+    rows = spark.createDataFrame([(t,) for t in [*titles, None, "zzzz"]], "title string")
+    got = rows.transform(matching.fuzzy_matcher(known, exclude_equal=exclude_equal)).collect()
+    order = {t: o for t, _, o in reversed(lookup)}
+    assert len(got) == len(titles) + 1
+    assert {r["title"]: (r["edits"], order[r["assigned_title"]]) for r in got} == closest(titles, lookup, exclude_equal)
+
+
+def test_unlimited_fuzzy_matches_of_empty_tables(spark):
+    known = spark.createDataFrame([("nurse", "c", 1), (None, "d", 2)], "title string, code string, ord int")
+    none = spark.createDataFrame([], "title string")
+    assert none.transform(matching.fuzzy_matcher(known)).collect() == []
+    rows = spark.createDataFrame([("clerk",)], "title string")
+    assert rows.transform(matching.fuzzy_matcher(known.limit(0))).collect() == []
+    assert [r["assigned_title"] for r in rows.transform(matching.fuzzy_matcher(known)).collect()] == ["nurse"]
