@@ -78,10 +78,14 @@ def mix_sources(
     max_epochs: int = 3,
     seed: int = 17,
     levels: tuple[str, ...] = LEVELS,
+    keys: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per row of `documents` (doc_id, text and the levels): its tokens and how often the mix holds it (`copies`, 0 if not)."""
+    """Per row of `documents` (doc_id, text and the levels): its tokens and how often the mix holds it (`copies`, 0 if not).
+
+    Columns in `keys` come along and settle the order of rows that share an id.
+    """
     rows = cut_lineage(
-        documents.select("doc_id", *levels, F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("bigint").alias("n_tokens"))
+        documents.select("doc_id", *keys, *levels, F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("bigint").alias("n_tokens"))
     )
     leaves = rows.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     total = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
@@ -106,8 +110,8 @@ def mix_sources(
         *[F.col(c).alias(f"_{c}") for c in levels], F.col("slice").alias("_slice"),
         F.coalesce(F.sum("slice_tokens").over(before), F.lit(0)).alias("offset"),
     )
-    running = Window.partitionBy(*levels, "slice").orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy(*levels, "slice").orderBy("place", "doc_id", "n_tokens", *keys).rowsBetween(Window.unboundedPreceding, 0)
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in levels] + [F.col("slice") == F.col("_slice")]
     reached = placed.withColumn("within", F.sum("n_tokens").over(running)).join(offsets, same)
     fits = (F.col("offset") + F.col("within") <= F.col("rest")).cast("bigint")
-    return reached.select("doc_id", *levels, "n_tokens", (F.col("epochs") + fits).alias("copies"))
+    return reached.select("doc_id", *keys, *levels, "n_tokens", (F.col("epochs") + fits).alias("copies"))

@@ -2,7 +2,8 @@
 
 Everything runs in column expressions and Spark's own forest. Every longest run of 12 or more key
 characters within a whitespace word is a candidate of its own, however many a word has and whatever
-follows. The forest sees its length, its character transitions, how much of it ordinary words cover,
+follows, if the word passes `LIKELY`: it holds a digit, `=` or `:` before something, 16 capitals in a row,
+or changes from small to capital letters twice. Runs of letters in plain prose are no candidates. The forest sees its length, its character transitions, how much of it ordinary words cover,
 and path marks and names around it: in the word back to the start of the gap before the previous
 candidate and on to the next, and in the last `NEAR` characters of the two words before. It is trained on labelled
 findings: those of a bounded sample of candidates, labelled by `known_secret`, and a few fixed
@@ -29,6 +30,8 @@ TREES = 20
 DEPTH = 6
 REDACTED = "[SECRET]"
 NEAR = 256
+# A word without a digit, an assignment, 16 capitals or two changes from small to capital letters is plain prose.
+LIKELY = r"[0-9]|[=:].|[A-Z]{16}|[a-z][A-Z].*[a-z][A-Z]"
 # An equals sign that a value follows assigns; others pad the run.
 RUN = r"[A-Za-z0-9+/_\-]{12,}(?:={1,2}(?![A-Za-z0-9+/_=\-]))?"
 # Names that announce a credential, and ordinary word parts a random key rarely holds.
@@ -55,7 +58,7 @@ def candidates(text: Column) -> Column:
     words = F.split(text, SPACES)
     spots = F.filter(
         F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("i"))),
-        lambda s: (F.length(s["word"]) >= MIN_LENGTH) & s["word"].rlike(RUN) & s["word"].rlike(r"[0-9]|[=:].|[A-Z]{16}"),
+        lambda s: (F.length(s["word"]) >= MIN_LENGTH) & s["word"].rlike(RUN) & s["word"].rlike(LIKELY),
     )
     cut = F.transform(
         spots,

@@ -3,6 +3,8 @@
 Words that may hide another one (digits or signs for letters, letters repeated, letters spaced out)
 are read as lattices of the characters they may stand for; the Viterbi path under a character
 trigram model restores them. A plain word has a single path, itself, so only the others are decoded.
+Four and more single characters apart from one another, whatever white space and text surround them, are
+read as one run, in which every learned word of four letters and more is looked for.
 The restored words and their beginnings carry log-odds learned from labelled documents, and a
 document's score follows its most telling word.
 
@@ -119,6 +121,9 @@ class Model:
     slope: float = 1.0
     offset: float = -2.0
 
+    def __post_init__(self) -> None:
+        self.longest = max((len(f) for f in self.odds if not f.endswith("*")), default=0)
+
     def word_score(self, token: str) -> float:
         return max((self.odds.get(f, 0.0) for w in readings(token, self.chars) for f in features(w)), default=0.0)
 
@@ -129,7 +134,7 @@ class Model:
             run = "".join(m.group().split())
             run = decode(run, self.chars) if not run.isalpha() else run
             for i in range(len(run)):
-                for j in range(i + 4, min(len(run), i + 16) + 1):
+                for j in range(i + 4, min(len(run), i + self.longest) + 1):
                     best = max(best, self.odds.get(run[i:j], 0.0))
         return best
 
@@ -228,17 +233,6 @@ def train(documents: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1
     return model
 
 
-def _has_spaced(chunk: bt.Chunk) -> np.ndarray:
-    """Texts in which two single-byte words follow one another."""
-    gap = bt.SPACE[chunk.data]
-    out = np.zeros(chunk.n, bool)
-    if len(gap) >= 5:
-        at = np.flatnonzero(gap[:-4] & ~gap[1:-3] & gap[2:-2] & ~gap[3:-1] & gap[4:])
-        out[np.searchsorted(chunk.offsets, at, "right") - 1] = True
-    # Runs at the very edges of a text lack the outer gap; such short texts are cheap to search.
-    return out | (np.diff(chunk.offsets) < 64)
-
-
 def score(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """(kept, odds, score) of every row, from its whole text: the columns in `keep` as a struct, and the odds of the most telling word."""
 
@@ -248,12 +242,10 @@ def score(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             texts = batch.column(1)
             odds_of, out = np.zeros(len(texts)), np.zeros(len(texts))
             for c in bt.chunks(texts):
-                spaced = _has_spaced(c)
                 for i, text in enumerate(texts.slice(c.lo, c.n).to_pylist()):
                     text = (text or "").lower()
                     odds = max(map(memo.__getitem__, text.split()), default=0.0)
-                    if spaced[i]:
-                        odds = max(odds, model.spaced_score(text))
+                    odds = max(odds, model.spaced_score(text))
                     odds_of[c.lo + i], out[c.lo + i] = odds, model.score(odds)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(odds_of), pa.array(out)], names=["kept", "odds", "score"])
 

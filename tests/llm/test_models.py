@@ -291,6 +291,32 @@ def test_every_secret_of_a_word(spark):
     assert got[6]["redacted"] == ",".join(["[SECRET]"] * 6000) + ";end"
 
 
+def test_mixed_case_runs_are_candidates(spark):
+    texts = ["token xYzAbCdEfGhIjKlMnOpQrStUv", "internationalization of McDonaldson"]
+    got = {r["doc_id"]: r["n_candidates"] for r in secretscan.scan(h.documents(spark, list(enumerate(texts)))).select("kept.doc_id", "n_candidates").collect()}
+    assert got == {0: 1, 1: 0}
+
+
+def test_spaced_words_are_found_whatever_stands_around():
+    long = "floccinaucinihilipilification"
+    model = toxicity.Model({"grumbleword": 5.0, long: 4.0, "grum*": 1.0}, char_model(["grumbleword"]))
+    around = "an innocent sentence follows here, and it is rather longer than sixty-four bytes of text"
+    for gap in (" ", "  ", "\n", "\u00a0", " \t "):
+        for word, odds in (("grumbleword", 5.0), (long, 4.0)):
+            spaced = gap.join(word)
+            for text in (spaced, f"{spaced} {around}", f"{around} {spaced}", f"{around} {spaced} {around}"):
+                assert model.spaced_score(text) == odds
+    assert model.spaced_score(around) == 0.0
+
+
+def test_scores_do_not_depend_on_appended_text(spark):
+    model = toxicity.Model({"grumbleword": 5.0}, char_model(["grumbleword"]))
+    spaced = "  ".join("grumbleword")
+    texts = [spaced, spaced + " " + "plain words of no interest " * 20, "plain words of no interest " * 20 + spaced]
+    got = toxicity.score(h.documents(spark, list(enumerate(texts))), model, ["doc_id"]).collect()
+    assert {r["odds"] for r in got} == {5.0}
+
+
 def test_native_operators_run_no_python(spark):
     docs = h.documents(spark, h.odd_rows())
     for df in (secretscan.scan(docs), mixing.mix_sources(with_domain(docs), MIX_WEIGHTS)):

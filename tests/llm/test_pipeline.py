@@ -50,7 +50,8 @@ def test_stages(spark):
     assert cut.count() == len(pairs)
 
     mixed = p.mix(spark, cut, SF).collect()
-    assert mixed and {r["doc_id"] for r in mixed} <= set(texts)
+    after = {r["doc_id"]: r for r in cut.collect()}
+    assert mixed and all(r.asDict() == {**after[r["doc_id"]].asDict(), "copies": r["copies"]} and r["copies"] > 0 for r in mixed)
 
     whole = p.run(spark, SF)
     assert h.by_id(whole.collect()) == h.by_id(mixed)
@@ -62,10 +63,18 @@ def test_odd_rows_and_clashing_columns(spark):
         docs = stage(spark, docs, SF)
         assert docs.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and docs.columns[5:] == h.CLASHING
     assert 0 < docs.count() < len(h.odd_rows())
+    mixed = p.mix(spark, docs, SF)
+    assert mixed.columns == [*docs.columns, "mix_copies"] and 0 < mixed.count() <= docs.count()
     for _, stage in p.STAGES:
         assert stage(spark, h.documents(spark, []), SF).count() == 0
 
 
+def test_mixing_keeps_texts_of_null_and_repeated_ids(spark):
+    rows = [(None, "one two three"), (None, "four five"), (7, "six seven eight"), (7, "nine ten"), (8, None)]
+    got = [(r["doc_id"], r["text"]) for r in p.mix(spark, h.documents(spark, rows), SF).collect()]
+    assert got and len(set(got)) == len(got) and set(got) <= set(rows)
+
+
 def test_null_and_repeated_ids(spark, tmp_path):
     rng = random.Random(5)
     words = h.vocabulary(rng)
