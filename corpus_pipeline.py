@@ -76,8 +76,11 @@ def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, with how often each is in it."""
-    return mixing.mix_sources(queries.with_domain(docs), queries.MIX_WEIGHTS).filter("copies > 0")
+    """The documents of the mix with all their columns, and how often each is in it: `copies`, or `mix_copies` beside a column of that name."""
+    rows, name = keyed(docs).withColumnRenamed("doc_id", "row"), "mix_copies" if "copies" in docs.columns else "copies"
+    levels = queries.with_domain(rows.select("row", "text", *[F.col(f"kept.{c}").alias(c) for c in ("doc_id", "lang", "source")]))
+    mixed = mixing.mix_sources(levels, queries.MIX_WEIGHTS, keys=("row",)).filter("copies > 0")
+    return rows.join(mixed.select("row", F.col("copies").alias(name)), "row").select("kept.*", name)
 
 
 STAGES = [
