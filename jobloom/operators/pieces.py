@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import heapq
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.functions.text import let
 from jobloom.session import cut_lineage
 
 # Vocabulary defaults and the mark of a word start.
@@ -13,76 +17,170 @@ VOCAB_SIZE = 30_000
 MIN_PAIR_COUNT = 5
 WORD_START = "▁"
 
+# What a round may bring to the driver: pairs with their counts, and pieces in distinct runs.
+CANDIDATES = 1 << 14
+RUN_PIECES = 1 << 17
 
-def _next_merges(rows: list, room: int) -> list:
-    """The leading pairs that can be merged together without changing any later choice.
+Pair = tuple[str, str]
+TABLE = "parts array<string>, n long"
+ARROW_TABLE = pa.schema([("parts", pa.list_(pa.string())), ("n", pa.int64())])
 
-    Merging (a, b) only changes pairs that end in a or start with b, and no new pair outnumbers the
-    pair it comes from. So pairs are taken in order until one of those comes up; pairs tied with
-    that count wait for the next round.
-    """
-    taken = [rows[0]]
-    limit = rows[-1]["n"]
-    for row in rows[1:]:
-        if any(row["b"] == t["a"] or row["a"] == t["b"] for t in taken):
-            limit = row["n"]
-            break
-        taken.append(row)
-    return [taken[0], *[r for r in taken[1:] if r["n"] > limit]][:room]
 
+def _merge(parts: list[str], a: str, b: str) -> list[str]:
+    merged, i = [], 0
+    while i < len(parts):
+        if parts[i] == a and i + 1 < len(parts) and parts[i + 1] == b:
+            merged.append(a + b)
+            i += 2
+        else:
+            merged.append(parts[i])
+            i += 1
+    return merged
 
-def _pairs(parts: Column) -> Column:
-    """Neighbouring pieces of one word."""
-    last = F.greatest(F.size(parts) - 1, F.lit(0))
-    return F.zip_with(
-        F.slice(parts, 1, last),
-        F.slice(parts, 2, last),
-        lambda a, b: F.struct(a.alias("a"), b.alias("b")),
-    )
+
+def _runs(table: DataFrame, known: set[Pair]) -> DataFrame:
+    """Distinct longest stretches of words whose neighbouring pieces are all known pairs."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple, int] = defaultdict(int)
+            for parts, n in zip(batch["parts"].to_pylist(), batch["n"].to_pylist()):
+                run = parts[:1]
+                for a, b in zip(parts, parts[1:]):
+                    if (a, b) not in known:
+                        if len(run) > 1:
+                            found[tuple(run)] += n
+                        run = []
+                    run.append(b)
+                if len(run) > 1:
+                    found[tuple(run)] += n
+            yield pa.RecordBatch.from_pydict({"parts": list(found), "n": list(found.values())}, ARROW_TABLE)
+
+    return table.mapInArrow(cut, TABLE).groupBy("parts").agg(F.sum("n").alias("n"))
+
+
+def _apply(table: DataFrame, merges: list[Pair]) -> DataFrame:
+    """Words after the merges, each done once and in order."""
+    ranks = {pair: i for i, pair in enumerate(merges)}
+    last = len(merges)
+
+    def after(parts: list[str]) -> list[str]:
+        while True:
+            first = min((ranks.get(pair, last) for pair in zip(parts, parts[1:])), default=last)
+            if first == last:
+                return parts
+            parts = _merge(parts, *merges[first])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            merged = [after(parts) for parts in batch["parts"].to_pylist()]
+            yield pa.RecordBatch.from_pydict({"parts": merged, "n": batch["n"]}, ARROW_TABLE)
+
+    return table.mapInArrow(run, TABLE)
+
+
+def _learn(runs: list, unknown: int, min_count: int, room: int) -> list[tuple[str, str, int]]:
+    """The leading merges that runs decide, where a pair outside of runs counts at most `unknown`.
+
+    The parts of a piece are the same wherever it stands: merges are done everywhere at once, and none
+    crosses its ends. So a new pair stands where one pair of the first words stood, always the same one:
+    it counts no more than that pair, and lies in runs if that does.
+    """
+    words = [list(r["parts"]) for r in runs]
+    counts: dict[Pair, int] = defaultdict(int)
+    where: dict[Pair, set[int]] = defaultdict(set)
+    for i, r in enumerate(runs):
+        for pair in zip(words[i], words[i][1:]):
+            counts[pair] += r["n"]
+            where[pair].add(i)
+    heap = [(-n, pair) for pair, n in counts.items()]
+    heapq.heapify(heap)
+    learned: list[tuple[str, str, int]] = []
+    while heap and len(learned) < room:
+        least, pair = heapq.heappop(heap)
+        if counts[pair] != -least:
+            continue
+        # Pairs outside of runs that tie with the first one come after it, as runs hold the first pairs.
+        if -least < min_count or (learned and -least <= unknown):
+            break
+        learned.append((*pair, -least))
+        changed = set()
+        for i in where.pop(pair):
+            old, new = words[i], _merge(words[i], *pair)
+            for p in zip(old, old[1:]):
+                counts[p] -= runs[i]["n"]
+                changed.add(p)
+            for p in zip(new, new[1:]):
+                counts[p] += runs[i]["n"]
+                where[p].add(i)
+                changed.add(p)
+            words[i] = new
+        for p in changed:
+            if counts[p] > 0:
+                heapq.heappush(heap, (-counts[p], p))
+    return learned
 
 
 def learn_pieces(
     words: DataFrame,
     word: str = "word",
     count: str = "n",
-    merges: int = VOCAB_SIZE,
+    merges: int | None = None,
     min_count: int = MIN_PAIR_COUNT,
-    candidates: int = 256,
+    candidates: int = CANDIDATES,
+    vocab_size: int = VOCAB_SIZE,
+    run_pieces: int = RUN_PIECES,
 ) -> DataFrame:
     """Merges `(rank, a, b, piece, n)` in the order they are learned; ties by the pieces.
 
-    The words stay distributed; a round brings only its `candidates` best pairs to the driver, and
-    merges as many of them as the order allows.
+    Learning ends at `merges`, or where letters and pieces are `vocab_size`, or where no pair counts
+    `min_count`. The words stay distributed. A round takes the `candidates` most frequent pairs, sums
+    the stretches of words that consist of them, and brings these to the driver, which finds all merges
+    they decide; with over `run_pieces` pieces in them it takes fewer pairs. The first pair is always
+    decided, so every round gets on. Null words are left out, null counts are 0, words in several rows add up.
     """
     spark = words.sparkSession
     letters = F.filter(F.split(F.concat(F.lit(WORD_START), word), ""), lambda c: c != "")
     table = cut_lineage(
-        words.select(
-            F.array_join(F.transform(letters, lambda c: F.concat(F.lit(" "), c, F.lit(" "))), "").alias("s"),
-            F.col(count).alias("n"),
+        words.where(F.col(word).isNotNull()).select(
+            letters.alias("parts"), F.coalesce(F.col(count), F.lit(0)).cast("long").alias("n")
         )
     )
+    room = vocab_size - table.select(F.explode("parts")).distinct().count()
+    if merges is not None:
+        room = min(room, merges)
     learned: list[tuple] = []
-    rounds = 0
-    while len(learned) < merges:
-        best = (
-            table.select(F.explode(let(F.split(F.trim("s"), "  "), _pairs)).alias("p"), "n")
+    size = candidates
+    while len(learned) < room:
+        neighbours = F.zip_with(
+            F.slice("parts", 1, F.size("parts") - 1),
+            F.slice("parts", 2, F.size("parts") - 1),
+            lambda a, b: F.struct(a.alias("a"), b.alias("b")),
+        )
+        top = (
+            table.where(F.size("parts") > 1)
+            .select(F.explode(neighbours).alias("p"), "n")
             .groupBy("p.a", "p.b")
             .agg(F.sum("n").alias("n"))
-            .where(F.col("n") >= min_count)
             .orderBy(F.desc("n"), "a", "b")
-            .limit(candidates)
+            .limit(candidates + 1)
             .collect()
         )
-        if not best:
+        if not top or top[0]["n"] < min_count:
             break
-        merged = F.col("s")
-        for row in _next_merges(best, merges - len(learned)):
-            piece = row["a"] + row["b"]
-            learned.append((len(learned) + 1, row["a"], row["b"], piece, row["n"]))
-            merged = F.replace(merged, F.lit(f" {row['a']}  {row['b']} "), F.lit(f" {piece} "))
-        table = table.select(merged.alias("s"), "n")
-        rounds += 1
-        if rounds % 10 == 0:
-            table = cut_lineage(table)
+        size = min(size, candidates, len(top))
+        while True:
+            runs = cut_lineage(_runs(table, {(r["a"], r["b"]) for r in top[:size]}))
+            if size == 1 or (runs.agg(F.sum(F.size("parts"))).first()[0] or 0) <= run_pieces:
+                break
+            size = max(1, size // 4)
+        unknown = top[size]["n"] if size < len(top) else 0
+        # Runs of the first pair alone need not be small; its count is known.
+        if size == 1 and unknown:
+            found = [tuple(top[0])]
+        else:
+            found = _learn(runs.collect(), unknown, min_count, room - len(learned))
+        learned += [(len(learned) + i, a, b, a + b, n) for i, (a, b, n) in enumerate(found, 1)]
+        table = cut_lineage(_apply(table, [(a, b) for a, b, _ in found]))
+        size *= 2
     return spark.createDataFrame(learned, "rank int, a string, b string, piece string, n long")

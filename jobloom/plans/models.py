@@ -130,7 +130,7 @@ def word_vectors(spark: SparkSession, sf: str) -> DataFrame:
 @query("ml17_word_pieces")
 def word_pieces(spark: SparkSession, sf: str) -> DataFrame:
     counted = terms.vocabulary(vectors.words(spark, sf))
-    return pieces.learn_pieces(counted, merges=40)
+    return pieces.learn_pieces(counted)
 
 
 @query("ml19_applied_model")

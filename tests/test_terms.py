@@ -44,6 +44,26 @@ def test_word_pieces_in_exact_order(spark):
     assert [tuple(r) for r in got.orderBy("rank").collect()] == learn_by_hand(counts, 45, 3)
 
 
+def test_word_pieces_to_the_end_in_small_rounds(spark):
+    rng = random.Random(9)
+    stems = ["".join(rng.choice("abcde") for _ in range(rng.randrange(2, 6))) for _ in range(40)]
+    counts = {"".join(rng.choice(stems) for _ in range(rng.randrange(1, 4))): rng.randrange(1, 30) for _ in range(300)}
+    counts |= {"": 9, "aaaaaaa": 40, "b b": 7}
+    rows = [*counts.items(), (None, 50), ("zzz", None)]
+    df = spark.createDataFrame(rows, "word string, n long")
+    want = learn_by_hand(counts, 10**6, 5)
+    for bounds in ({}, {"candidates": 60, "run_pieces": 600}):
+        got = pieces.learn_pieces(df, **bounds)
+        assert [tuple(r) for r in got.orderBy("rank").collect()] == want
+    known = {c for w in counts for c in w} | {"▁", "z"}
+    got = [tuple(r) for r in pieces.learn_pieces(df, vocab_size=len(known) + 50).orderBy("rank").collect()]
+    assert got == want[:50]
+
+
+def test_word_pieces_of_nothing(spark):
+    assert pieces.learn_pieces(spark.createDataFrame([], "word string, n long")).count() == 0
+
+
 def test_document_vectors(spark):
     vectors = spark.createDataFrame([("a", [3.0, 0.0]), ("b", [0.0, 4.0])], "word string, vec array<double>")
     docs = spark.createDataFrame([(1, "a b zz"), (2, "a a"), (3, "zz"), (4, "")], "d int, t string")
