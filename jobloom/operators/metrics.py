@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from jobloom.functions.text import truncate
 from jobloom.operators.ranking import top_per_group
+from jobloom.session import cut_lineage
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -175,7 +176,7 @@ def disagreement(df: DataFrame, truth: str, first: str, second: str) -> DataFram
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Inverse-frequency weights scaled to mean 1, and `n / (classes · n_class)` weights."""
-    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")))
     inverse = counts.agg(F.sum(1 / F.col("n"))).scalar()
     classes = counts.agg(F.count(F.lit(1))).scalar()
     rows = counts.agg(F.sum("n")).scalar()

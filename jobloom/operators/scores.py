@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,8 +137,8 @@ def class_correlation(
         )
     )
     together = rows.select(F.explode(products).alias("x")).groupBy("x.a", "x.b").agg(F.sum("x.xy").alias("sab"))
-    pairs = F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b")) for x, y in combinations(sorted(classes), 2)])
-    grid = scores.sparkSession.range(1).select(F.explode(pairs).alias("x")).select("x.a", "x.b")
+    names = scores.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in sorted(set(classes))])).alias("a"))
+    grid = names.join(names.withColumnRenamed("a", "b"), F.col("a") < F.col("b"))
     full = (
         grid.join(sums.select(F.col("c").alias("a"), F.col("s").alias("sa"), F.col("ss").alias("ssa")), "a", "left")
         .join(sums.select(F.col("c").alias("b"), F.col("s").alias("sb"), F.col("ss").alias("ssb")), "b", "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobloom.session import cut_lineage
+
 
 def _total(df: DataFrame, column: str) -> Column:
     """Total of a column, added up task by task."""
@@ -41,15 +43,16 @@ def confusion_adjusted_shares(predicted: DataFrame, cells: DataFrame, pred: str
     Every prediction spreads over the true classes of its confusion column; a predicted class the
     table lacks adds nothing. Only classes that were predicted are reported, without rescaling.
     """
-    counts = predicted.groupBy(pred).agg(F.count(F.lit(1)).alias("__k"))
-    by_truth = (
-        cells.join(counts, cells["pred"] == counts[pred])
+    # Both have a row per class and are read twice.
+    counts = cut_lineage(predicted.groupBy(F.col(pred).alias("__pred")).agg(F.count(F.lit(1)).alias("__k")))
+    by_truth = cut_lineage(
+        cells.join(counts, cells["pred"] == counts["__pred"])
         .groupBy("truth")
         .agg(F.sum(F.col("n") * F.col("__k")).alias("__w"))
     )
     share = F.col("__w") / _total(by_truth, "__w")
     shares = by_truth.select(F.col("truth").alias("code"), share.alias("share"))
-    return shares.join(counts.select(F.col(pred).alias("code")), "code", "left_semi")
+    return shares.join(counts.select(F.col("__pred").alias("code")), "code", "left_semi")
 
 
 def relative_entropy(p: DataFrame, q: DataFrame, key: str, share: str = "share") -> DataFrame:

@@ -10,6 +10,7 @@ from jobloom.operators.ranking import dense_index
 from jobloom.operators.tables import common_keys, stack_labelled
 from jobloom.plans import inputs
 from jobloom.plans.registry import query
+from jobloom.session import cut_lineage
 
 SIX = 6  # decimals kept where sums of doubles may differ in their last bits
 
@@ -175,7 +176,7 @@ def averaged_scores(spark: SparkSession, sf: str) -> DataFrame:
     from s""",
 )
 def classification_summary(spark: SparkSession, sf: str) -> DataFrame:
-    table = cells(spark, sf)
+    table = cut_lineage(cells(spark, sf))
     by_truth = metrics.classification_summary(table)
     by_pred = metrics.classification_summary(table, weight_by="pred")
     return by_truth.select(
@@ -393,7 +394,9 @@ def mean_wage(spark: SparkSession, sf: str) -> DataFrame:
     from w where truth in (select pred from k)""",
 )
 def confusion_adjusted_shares(spark: SparkSession, sf: str) -> DataFrame:
-    out = shares.confusion_adjusted_shares(predictions(spark, sf, 3), cells(spark, sf))
+    predicted = cut_lineage(predictions(spark, sf, 3))
+    table = metrics.confusion(predicted, labels(spark, sf, 3))
+    out = shares.confusion_adjusted_shares(predicted, table)
     return out.select("code", _r("share"))
 
 

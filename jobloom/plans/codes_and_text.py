@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlsplit
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -490,13 +492,23 @@ def dropped_fields(spark: SparkSession, sf: str) -> DataFrame:
     return readers.drop_fields(readers.read_json_lines(spark, path, schema))
 
 
+def _with_scheme(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark gives it, so that tasks write where readers look."""
+    if "://" in path:
+        return path
+    probe = _written(spark, "probe")
+    spark.range(1).write.parquet(probe)
+    at = urlsplit(spark.read.parquet(probe).select(F.input_file_name()).first()[0])
+    return f"{at.scheme}://{at.netloc}{path}"
+
+
 def _write_each(path: str, make):
-    """A `mapInPandas` body that writes one file per row or batch and returns the names."""
+    """A `mapInPandas` body that writes one file per row or batch to a path with a scheme and returns the names."""
     import pandas as pd
     import pyarrow.fs as pafs
 
     def write(batches):
-        fs, root = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        fs, root = pafs.FileSystem.from_uri(path)
         fs.create_dir(root)
         for pdf in batches:
             names = []
@@ -514,7 +526,7 @@ def _write_each(path: str, make):
     sql="select concat('doc-', cast(doc_id as varchar)) as doc_id, length(text) as n_chars, md5(text) as text from documents",
 )
 def file_per_document(spark: SparkSession, sf: str) -> DataFrame:
-    path = _written(spark, "files")
+    path = _with_scheme(spark, _written(spark, "files"))
 
     def one_per_row(pdf):
         for doc_id, body in zip(pdf["doc_id"], pdf["text"]):
@@ -537,7 +549,7 @@ def zipped_tsv(spark: SparkSession, sf: str) -> DataFrame:
     import uuid
     import zipfile
 
-    path = _written(spark, "zips")
+    path = _with_scheme(spark, _written(spark, "zips"))
 
     def one_per_batch(pdf):
         buffer = io.StringIO()
