@@ -259,9 +259,9 @@ inputs.VIEWS["v_sims"] = """
 @query(
     "j14_pairs_within_max",
     sql="""
-    with p as (select a.vec_id, cast(a.embedding as double[]) as v, cast(b.embedding as double[]) as o
-               from embeddings a join embeddings b
-                 on b.vec_id = (a.vec_id + 1) % (select count(*) from embeddings)),
+    with n as (select count(*) as n from embeddings),
+         a as (select vec_id, (vec_id + 1) % n.n as next, cast(embedding as double[]) as v from embeddings, n),
+         p as materialized (select a.vec_id, a.v, b.v as o from a join a b on b.vec_id = a.next),
          d as (select a.vec_id as i, b.vec_id as j,
                       greatest(1 - list_inner_product(a.v, b.v), 1 - list_inner_product(a.o, b.o)) as d
                from p a join p b on a.vec_id < b.vec_id)
@@ -283,9 +283,9 @@ def verb_object(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "j14_pairs_within_weighted",
     sql="""
-    with p as (select a.vec_id, cast(a.embedding as double[]) as v, cast(b.embedding as double[]) as o
-               from embeddings a join embeddings b
-                 on b.vec_id = (a.vec_id + 1) % (select count(*) from embeddings)),
+    with n as (select count(*) as n from embeddings),
+         a as (select vec_id, (vec_id + 1) % n.n as next, cast(embedding as double[]) as v from embeddings, n),
+         p as materialized (select a.vec_id, a.v, b.v as o from a join a b on b.vec_id = a.next),
          d as (select a.vec_id as i, b.vec_id as j,
                       0.7 * (1 - list_inner_product(a.v, b.v)) + 0.3 * (1 - list_inner_product(a.o, b.o)) as d
                from p a join p b on a.vec_id < b.vec_id)
@@ -320,6 +320,28 @@ def _rounded(df: DataFrame) -> DataFrame:
     )
 
 
+@query(
+    "j15_nearest_with_texts",
+    sql="""
+    with t as (select doc_id % (select count(*) from embeddings) as vec_id, min_by(text, doc_id) as text
+               from documents group by 1),
+         n as (select i, j, sim, row_number() over (partition by i order by round(sim, 9) desc, j) as rn from v_sims)
+    select i as query_id, j as ref_id, round(sim, 6) as similarity, round(1 - sim, 6) as distance, rn as rank,
+           q.text as query_text, r.text as ref_text
+    from n left join t q on q.vec_id = n.i left join t r on r.vec_id = n.j where rn <= 2""",
+)
+def nearest_with_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The two nearest of every vector with the ids and texts of both sides; references probed cell by cell."""
+    docs = inputs.table(spark, sf, "documents").select("doc_id", "text")
+    v = items(spark, sf)
+    n = v.agg(F.count(F.lit(1))).scalar()
+    texts = docs.groupBy((F.col("doc_id") % n).alias("vec_id")).agg(F.min_by("text", "doc_id").alias("text"))
+    described = v.select("vec_id").join(texts, "vec_id", "left")
+    near = neighbors.top_k_nearest(v, v, 2, "vec_id", "vec_id", "vec", exclude_same=True, local_bytes=0)
+    found = neighbors.carried(_rounded(near), described, described, "vec_id", "vec_id", ["text"], ["text"])
+    return found.select("query_id", "ref_id", "similarity", "distance", "rank", "query_text", "ref_text")
+
+
 @query(
     "j15_top_k_nearest_tiled",
     sql="""
