@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.functions import text
-from jobloom.operators import clusters, models, neighbors, pieces, scores, terms
+from jobloom.operators import clusters, lasso, models, neighbors, pieces, scores, terms
 from jobloom.plans import inputs, tasks_and_wages, vectors
 from jobloom.plans.registry import query
 from jobloom.session import workspace
@@ -92,13 +92,7 @@ def bisecting_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 def wage_outputs(spark: SparkSession, sf: str):
     long = tasks_and_wages.regression_table(spark, sf)
-    names = sorted(r["cluster"] for r in long.select("cluster").distinct().collect())
-    wide = clusters.incidence_wide(long, "occ", "cluster", names)
-    wages = inputs.table(spark, sf, "customer").select(
-        F.col("c_custkey").alias("occ"), F.col("c_acctbal").alias("wage")
-    )
-    features = [f"c_{c}" for c in names]
-    return models.wage_regression(wide.join(wages, "occ"), features, "wage", "occ", [5.0, 50.0], threshold=-1.0)
+    return lasso.wage_lasso(long, "occ", "cluster", "wage", [5.0, 50.0], folds=3, threshold=-1.0)
 
 
 @query("ml14_wage_regression_scores")
@@ -111,15 +105,28 @@ def wage_coefficients(spark: SparkSession, sf: str) -> DataFrame:
     return wage_outputs(spark, sf)[1]
 
 
+@query("ml14_left_out_wages")
+def left_out_wages(spark: SparkSession, sf: str) -> DataFrame:
+    """Each occupation's wage predicted from all others, with the penalty that does this best."""
+    long = tasks_and_wages.regression_table(spark, sf)
+    return lasso.wage_lasso(long, "occ", "cluster", "wage", [5.0, 50.0])[0]
+
+
 @query("ml15_cluster_sweep")
 def cluster_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """In- and out-of-sample score of the wage regression at several cluster counts."""
     items = vectors.items(spark, sf)
+    n = items.agg(F.count(F.lit(1))).scalar()
+    crosswalk = inputs.table(spark, sf, "orders").select(F.col("o_custkey").alias("occ"), (F.col("o_orderkey") % n).alias("soc"))
+    wages = inputs.table(spark, sf, "customer").select(F.col("c_custkey").alias("occ"), F.col("c_acctbal").alias("wage"))
 
     def score(assigned: DataFrame) -> DataFrame:
-        sized = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-        return sized.agg(F.count(F.lit(1)).alias("used"), F.max("n").alias("largest"))
+        tasks = assigned.withColumnRenamed("vec_id", "soc")
+        long = clusters.regression_table(crosswalk, tasks, wages, "soc", "occ", "cluster")
+        scores = lasso.wage_lasso(long, "occ", "cluster", "wage", folds=3)[2]
+        return scores.select(F.col("r2_in").alias("in_sample"), F.col("r2_out").alias("out_of_sample"))
 
-    return clusters.sweep(items, "vec_id", "vec", clusters.bisecting_clusters, [2, 4], score)
+    return clusters.sweep(items, "vec_id", "vec", clusters.bisecting_clusters, [2, 4, 8], score)
 
 
 @query("ml16_word_vectors")
