@@ -173,7 +173,7 @@ def cluster_profile(spark: SparkSession, sf: str) -> DataFrame:
     tasks = docs.withColumn("vec_id", F.col("doc_id") % n).join(
         items.select("vec_id", F.col("label").alias("cluster")), "vec_id"
     )
-    medoids = neighbors.cluster_medoids(items, "label", "vec_id", "vec", vectors.DIM)
+    medoids = neighbors.cluster_medoids(items, "label", "vec_id", "vec")
     first = docs.groupBy((F.col("doc_id") % n).alias("vec_id")).agg(F.min_by("text", "doc_id").alias("text"))
     named = medoids.join(first, "vec_id").select(
         F.col("label").alias("cluster"), F.col("text").alias("medoid")

@@ -401,7 +401,7 @@ def neighbor_class(spark: SparkSession, sf: str) -> DataFrame:
     where rn = 1""",
 )
 def cluster_medoids(spark: SparkSession, sf: str) -> DataFrame:
-    out = neighbors.cluster_medoids(items(spark, sf), "label", "vec_id", "vec", DIM)
+    out = neighbors.cluster_medoids(items(spark, sf), "label", "vec_id", "vec")
     return out.withColumn("total_distance", F.round("total_distance", 5))
 
 
