@@ -198,3 +198,12 @@ def test_relative_entropy(spark):
 def test_shares_sum_to_one(spark):
     df = spark.range(100).select((F.col("id") % 7).alias("v"))
     assert abs(shares.value_shares(df, "v").agg(F.sum("share")).first()[0] - 1) < 1e-12
+
+
+def test_slice_offsets_are_not_sent_to_every_task(spark):
+    df = spark.range(2000).select((F.col("id") % 3).alias("k"), "id")
+    ranked = ranking.hash_rank(df, ["k"], "id")
+    ranks = sorted((r["k"], r["rank"]) for r in ranked.collect())
+    assert ranks == [(k, i) for k in range(3) for i in range(1, 2000 // 3 + (k < 2000 % 3) + 1)]
+    plan = ranked._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
