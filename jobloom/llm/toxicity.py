@@ -8,7 +8,7 @@ read as one run, in which every learned word of four letters and more is looked
 The restored words and their beginnings carry log-odds learned from labelled documents, and a
 document's score follows its most telling word.
 
-Learning uses at most `SAMPLE` labelled rows, drawn by hash; every text is scored whole. Defined
+Learning uses every labelled row outside the held-out fold; every text is scored whole. Defined
 results: null, empty and wordless texts get the score of a document without telling words; repeated
 rows score alike; without labelled rows every score is the neutral prior.
 """
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from jobloom.llm import bytetext as bt
 
-SAMPLE = 30_000
 MIN_TOXIC_DOCS = 8
 THRESHOLD = 0.7
 PREFIXES = (4, 5, 6)
@@ -160,27 +159,37 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds == fold
 
 
-def calibrate(odds: np.ndarray, labels: np.ndarray, slope: float, offset: float, steps: int = 50) -> tuple[float, float]:
-    """Logistic slope and offset for the odds of documents that did not teach them, held near the given ones by a weak prior."""
+def calibrate(
+    odds: np.ndarray, labels: np.ndarray, slope: float, offset: float, steps: int = 50, n: np.ndarray | float = 1.0
+) -> tuple[float, float]:
+    """Logistic slope and offset for the odds of documents that did not teach them, `n` of each kind, held near the given ones by a weak prior."""
     x = np.column_stack([odds, np.ones(len(odds))])
     start = np.array([slope, offset])
     prior = np.diag([4.0, 0.1])
 
     def loss(beta: np.ndarray) -> float:
         z = x @ beta
-        return float((np.logaddexp(0, z) - labels * z).sum() + 0.5 * (beta - start) @ prior @ (beta - start))
+        return float((n * (np.logaddexp(0, z) - labels * z)).sum() + 0.5 * (beta - start) @ prior @ (beta - start))
 
     beta = start.copy()
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -35, 35)))
-        gradient = x.T @ (labels - p) - prior @ (beta - start)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + prior, gradient)
+        gradient = x.T @ (n * (labels - p)) - prior @ (beta - start)
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + prior, gradient)
         while loss(beta + step) > loss(beta) and np.abs(step).max() > 1e-9:
             step = step / 2
         beta = beta + step
     return float(max(beta[0], 0.05)), float(beta[1])
 
 
+def labelled_rows(documents: DataFrame, labels: DataFrame, label: str, folds: int, fold: int) -> DataFrame:
+    """(doc_id, text, label) of all labelled rows outside the held-out fold; the ids grow with the input, so they are merged, not sent around."""
+    rows = labels.filter(~held_out(F.col("doc_id"), folds, fold) & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    ids = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    texts = documents.filter(~held_out(F.col("doc_id"), folds, fold)).select("doc_id", F.col("text").cast("string").alias("text"))
+    return texts.join(ids.hint("merge"), "doc_id").select("doc_id", "text", "label")
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, limit: int) -> DataFrame:
     """(text, label) of at most `limit` labelled rows outside the held-out fold; the ids are few, so they go to the scan."""
     rows = labels.filter(~held_out(F.col("doc_id"), folds, fold) & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -191,7 +200,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds:
 def train(documents: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -> Model:
     """Log-odds of words and beginnings, and the character model, from labelled documents.
 
-    Three of ten sampled documents only calibrate the score, with the odds the others taught.
+    Three of ten labelled documents only calibrate the score, with the odds the others taught.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,10 +220,10 @@ def train(documents: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1
         columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)]
         yield pa.RecordBatch.from_arrays(columns, names=["kind", "key", "t", "c"])
 
-    sample = labelled_sample(documents, labels, "toxic", folds, fold, SAMPLE)
+    rows = labelled_rows(documents, labels, "toxic", folds, fold)
     teaches = F.pmod(F.xxhash64("doc_id", F.lit("teach")), F.lit(10)) < 7
     counts = (
-        sample.filter(teaches).mapInArrow(count, "kind string, key string, t bigint, c bigint")
+        rows.filter(teaches).mapInArrow(count, "kind string, key string, t bigint, c bigint")
         .groupBy("kind", "key")
         .agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
         .filter((F.col("kind") != "f") | ((F.col("t") >= MIN_TOXIC_DOCS) & (F.col("t") > 2 * F.col("c"))))
@@ -226,10 +235,11 @@ def train(documents: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1
         r["key"]: math.log((r["t"] + 0.5) / (toxic + 1)) - math.log((r["c"] + 0.5) / (clean + 1)) for r in counts if r["kind"] == "f"
     }
     model = Model(odds, CharModel({r["key"]: r["t"] for r in counts if r["kind"] == "g"}), 1.0, math.log((toxic + 1) / (clean + 10)))
-    tried = score(sample.filter(~teaches), model, ["label"]).collect()
+    # Odds come from the table, so there are no more kinds than learned words and beginnings, twice.
+    tried = score(rows.filter(~teaches), model, ["label"]).groupBy("odds", "kept.label").count().orderBy("odds", "label").collect()
     if tried:
-        found = np.array([r["odds"] for r in tried])
-        model.slope, model.offset = calibrate(found, np.array([float(r["kept"]["label"]) for r in tried]), model.slope, model.offset)
+        found, truth, n = (np.array([float(r[c]) for r in tried]) for c in ("odds", "label", "count"))
+        model.slope, model.offset = calibrate(found, truth, model.slope, model.offset, n=n)
     return model
 
 

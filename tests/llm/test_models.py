@@ -52,6 +52,19 @@ def test_viterbi_finds_the_cheapest_path():
         assert costs[got] == pytest.approx(min(costs.values()))
 
 
+def test_every_labelled_row_teaches(spark):
+    """More labelled rows than any sample: each word's odds come from its count over all of them."""
+    docs = spark.range(70_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id") % 1500).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 1500 < 750).cast("int").alias("toxic"))
+    teach = ~toxicity.held_out(F.col("doc_id"), 3, 1) & (F.pmod(F.xxhash64("doc_id", F.lit("teach")), F.lit(10)) < 7)
+    taught = {r["text"]: r["count"] for r in docs.filter(teach).filter(F.col("doc_id") % 1500 < 750).groupBy("text").count().collect()}
+    clean = docs.filter(teach).count() - sum(taught.values())
+    model = toxicity.train(docs, labels)
+    want = {w: math.log((n + 0.5) / (sum(taught.values()) + 1)) - math.log(0.5 / (clean + 1)) for w, n in taught.items() if n >= toxicity.MIN_TOXIC_DOCS}
+    assert len(want) > 700
+    assert {w: model.odds[w] for w in want} == pytest.approx(want)
+
+
 def toxic_table(spark, seed=1, n=240):
     rng = random.Random(seed)
     words = [w for w in h.vocabulary(rng) if len(w) > 2]
