@@ -12,8 +12,13 @@ from jobloom.plans.codes_and_text import raw_postings
 from jobloom.plans.registry import query
 from jobloom.plans.titles import matchers
 from jobloom.session import workspace
+from jobloom.sources import readers
 from jobloom.streaming import ingest
 
+# Batches the postings arrive in, and postings in a file.
+BATCHES = 4
+FILE_ROWS = 10_000
+
 
 @query(
     "st1_incremental_ingest",
@@ -29,9 +34,12 @@ from jobloom.streaming import ingest
 )
 def incremental_ingest(spark: SparkSession, sf: str) -> DataFrame:
     source, table, state = (workspace(spark, n) for n in ("incoming", "postings", "state"))
-    arriving = raw_postings(spark, sf)
-    arriving.drop("post_id").repartition(4, "url", "scrapeTimestamp").write.json(source)
-    ingest.ingest_postings(spark, source, table, state, text.cleaner(4), files_per_batch=1)
+    # Written where the postings are made, packed, in files that one task reads.
+    n = inputs.table(spark, sf, "orders").count()
+    arriving = raw_postings(spark, sf).drop("post_id").write
+    arriving.option("maxRecordsPerFile", max(1, min(FILE_ROWS, n // BATCHES))).json(source, compression="gzip")
+    files = len(spark.read.schema(readers.RAW_JOB_SCHEMA).json(source).inputFiles())
+    ingest.ingest_postings(spark, source, table, state, text.cleaner(4), files_per_batch=max(1, -(-files // BATCHES)))
     return ingest.current_postings(spark, table).drop("section").withColumn("content", F.md5("content"))
 
 
