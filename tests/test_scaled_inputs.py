@@ -43,3 +43,10 @@ def test_postings_arrive_packed_in_four_batches(spark, tables):
     assert len(files) >= 4 and all(f.endswith(".json.gz") for f in files)
     (table,) = set(root.glob("postings-*")) - stored
     assert 2 <= len(list(table.glob("batch=*"))) <= 4
+
+
+def test_single_files_are_dealt_over_folders(spark, tables):
+    run = lambda: entry.queries()["src6_file_per_document"](spark, tables)
+    got, folder = added(spark, "files", run)
+    assert sorted(r["doc_id"] for r in got) == sorted(f"doc-{i}" for i in range(40))
+    assert len({f.parent for f in folder.glob("**/*.txt")}) > 20
