@@ -1,15 +1,13 @@
-"""Alignment of two tokenizations of a text, through windows between whitespace-token anchors.
+"""Alignment of two tokenizations of a text, by the byte offsets where their tokens end.
 
 A text is tokenised whole by a byte-level BPE (A, on one space and the text) and by a piece BPE with
-byte fallback (B, which adds the space). Where both have a token that begins with a space at the same
-byte, and so both end one there, the text is cut: these anchors split it into windows of token ids.
-The alignment inside a window depends on its ids only, so it is worked out once per tuple of ids and
-remembered, up to `MEMO_TOKENS` tokens in a task (then the memo starts anew, which changes no result).
+byte fallback (B, which adds the space). Byte offsets where tokens of both end cut it into groups, and
+every pair of tokens whose bytes overlap is a link. The texts of a task are laid end to end and aligned
+many at a time, on arrays of at most `MEMO_TOKENS` tokens (or one text) that are then forgotten.
 
-Inside a window, byte offsets where tokens of both end cut it into groups, and every pair of tokens
-whose bytes overlap is a link. How often each pair of ids is linked is counted over the whole corpus.
-Pairs are kept with their documents as sorted codes; the most frequent (`SHARED_PAIRS` at most) go to
-all tasks with their counts, all others are joined.
+How often each pair of ids is linked is counted over the whole corpus. Pairs are kept with their
+documents as sorted codes; the most frequent (`SHARED_PAIRS` at most) go to all tasks with their
+counts, all others are joined.
 
 Defined results: null and empty texts, and texts whose tokens don't spell one space and the text
 (U+2581 in a text, for one) have no tokens, all zeros and no groups. Special tokens inside a text are
@@ -26,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +34,11 @@ from jobloom.session import workspace
 
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-MEMO_TOKENS = 1 << 21
+MEMO_TOKENS = 1 << 21  # tokens of both sides that are aligned at a time
 SHARED_PAIRS = 1 << 20
 STRETCH = 1 << 21  # links counted together in a task
 SPACE_MARK = "▁"
+SIGNS = (",", "|", ";", "")  # after an id: more of its side, the other side, the next group, nothing
 
 
 def byte_letters() -> dict[str, int]:
@@ -50,13 +50,12 @@ def byte_letters() -> dict[str, int]:
 
 @dataclass
 class Vocabulary:
-    """The bytes of each id, their lengths, and which ids begin with a space."""
+    """The bytes of each id and their lengths."""
 
     spelled: list[bytes]
 
     def __post_init__(self) -> None:
         self.length = np.array([len(s) for s in self.spelled], np.int64)
-        self.spaced = np.array([s[:1] == b" " for s in self.spelled], bool)
         self.bytes = np.frombuffer(b"".join(self.spelled), np.uint8)
         self.begin = np.cumsum(self.length) - self.length
 
@@ -97,6 +96,8 @@ class Tokenizers:
                 for i in pieces
             ]
         )
+        # Every id as a number and the sign that follows it, in the order of `SIGNS`.
+        self.written = pa.array([f"{i}{sign}" for i in range(max(len(self.of_a.length), len(self.of_b.length))) for sign in SIGNS], pa.string())
 
     def _by_ranks(self, file: dict):
         """The same byte-level BPE by the ranks of its vocabulary, three times as fast, where its merges stand in the order of their ids."""
@@ -163,112 +164,76 @@ def shared_values(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return both[1:][both[1:] == both[:-1]]
 
 
-def align_windows(a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray, of_a: Vocabulary, of_b: Vocabulary) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Windows cut_a[i]..cut_a[i + 1] of ids `a` with those of `b`: their groups as text, their numbers of groups and links, all links.
-
-    Links have the id of A in their high half and that of B in the low one. The windows are laid end to end, so every offset
-    where tokens end closes one link, of the tokens that hold the byte before it, and an offset where both end closes a group.
-    """
-    end_a, end_b = np.cumsum(of_a.length[a]), np.cumsum(of_b.length[b])
-    ends = merged(end_a, end_b)
-    links = a[np.searchsorted(end_a, ends)].astype(np.int64) << 32 | b[np.searchsorted(end_b, ends)]
-    window_ends = end_a[cut_a[1:] - 1]
-    n_links = np.diff(np.searchsorted(ends, window_ends, "right"), prepend=0)
-    shared = shared_values(end_a, end_b)
-    n_groups = np.diff(np.searchsorted(shared, window_ends, "right"), prepend=0)
-    group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
-    # Each id is written with the sign that follows it; the last of a window is followed by none.
-    sign_a = np.where(np.append(group_a[1:] != group_a[:-1], True), "|", ",")
-    sign_b = np.where(np.append(group_b[1:] != group_b[:-1], True), ";", ",")
-    sign_b[cut_b[1:] - 1] = ""
-    order = np.lexsort((np.repeat([0, 1], [len(a), len(b)]), np.concatenate([group_a, group_b])))
-    names = list(map(str, np.concatenate([a, b])[order].tolist()))
-    signs = np.concatenate([sign_a, sign_b])[order].tolist()
-    written = list(map(str.__add__, names, signs))
-    at = (cut_a + cut_b).tolist()
-    return ["".join(written[lo:hi]) for lo, hi in zip(at, at[1:])], n_groups, n_links, links
-
-
 class Aligner:
-    """Windows of ids and their remembered alignments."""
+    """Alignments of texts by both tokenizers."""
 
     def __init__(self, tokenizers: Tokenizers) -> None:
         self.tokenizers = tokenizers
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[tuple[bytes, bytes], int] = {}
-        self.groups: list[str] = []
-        self.n_groups: list[int] = []
-        self.links: list[bytes] = []
-        self.tokens = 0
-
-    def _learn(self, keys: list[tuple[bytes, bytes]]) -> None:
-        """Align windows not met so far."""
-        a, b = (np.frombuffer(b"".join(k[side] for k in keys), np.int32) for side in (0, 1))
-        cut_a, cut_b = (np.concatenate([[0], np.cumsum([len(k[side]) // 4 for k in keys])]) for side in (0, 1))
-        groups, n_groups, n_links, links = align_windows(a, b, cut_a, cut_b, self.tokenizers.of_a, self.tokenizers.of_b)
-        raw, at = links.tobytes(), (8 * np.concatenate([[0], np.cumsum(n_links)])).tolist()
-        self.groups += groups
-        self.n_groups += n_groups.tolist()
-        self.links += [raw[lo:hi] for lo, hi in zip(at, at[1:])]
-        self.tokens += len(a) + len(b)
 
     def align(self, texts: list[str]) -> pa.RecordBatch:
         """Per text: n_a, n_b, n_groups, n_links, groups, and its distinct links with how often each occurs."""
-        if self.tokens > MEMO_TOKENS:
-            self.forget()
         (a, n_a), (b, n_b) = self.tokenizers.encode(texts)
-        of_a, of_b = self.tokenizers.of_a, self.tokenizers.of_b
-        # Offsets run on through the texts, whose bytes are the same in both.
-        start_a, start_b = (np.concatenate([[0], np.cumsum(v.length[x])]) for v, x in ((of_a, a), (of_b, b)))
-        first_a = np.concatenate([[0], np.cumsum(n_a)])
-        spaced = shared_values(start_a[:-1][of_a.spaced[a]], start_b[:-1][of_b.spaced[b]])
-        anchors = merged(spaced, start_a[first_a[:-1][n_a > 0]])
-        cut_a = np.append(np.searchsorted(start_a, anchors), len(a))
-        cut_b = np.append(np.searchsorted(start_b, anchors), len(b))
-        raw_a, raw_b = a.tobytes(), b.tobytes()
-        at_a, at_b = (4 * cut_a).tolist(), (4 * cut_b).tolist()
-        keys = list(zip(map(raw_a.__getitem__, map(slice, at_a, at_a[1:])), map(raw_b.__getitem__, map(slice, at_b, at_b[1:]))))
-        windows = list(map(self.known.get, keys))
-        new = [key for key, at in zip(keys, windows) if at is None]
-        if new:
-            new = list(dict.fromkeys(new))
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self._learn(new)
-            windows = list(map(self.known.__getitem__, keys))
-        first = np.searchsorted(cut_a[:-1], first_a)
-        written = list(map(self.groups.__getitem__, windows))
-        groups = [";".join(written[lo:hi]) for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-
-        used, place = np.unique(np.array(windows, np.int64), return_inverse=True)
-        raw = list(map(self.links.__getitem__, used.tolist()))
-        size = np.array(list(map(len, raw)), np.int64) // 8
-        codes, rank = np.unique(np.frombuffer(b"".join(raw), np.int64), return_inverse=True)
-        begin = np.cumsum(size) - size
-        per_window = size[place]
-        n_groups = np.array([self.n_groups[u] for u in used.tolist()], np.int64)[place]
-        owner = np.repeat(np.arange(len(texts)), np.diff(first))
-        n_links = np.bincount(owner, per_window, len(texts)).astype(np.int64)
-        inside = np.arange(per_window.sum()) - np.repeat(np.cumsum(per_window) - per_window, per_window)
-        which = rank[np.repeat(begin[place], per_window) + inside]
-        cells, times = np.unique(np.repeat(owner, per_window) * max(len(codes), 1) + which, return_counts=True)
-        text_of = cells // max(len(codes), 1)
-        distinct = codes[cells % max(len(codes), 1)] if len(cells) else np.zeros(0, np.int64)
-        cuts = np.searchsorted(text_of, np.arange(len(texts) + 1))
-        packed = [pack(distinct[lo:hi], times[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+        first_a, first_b = (np.concatenate([[0], np.cumsum(n)]) for n in (n_a, n_b))
+        block = (first_a + first_b)[:-1] // MEMO_TOKENS
+        edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)] if texts else []
+        parts = [
+            self._align(a[first_a[lo] : first_a[hi]], n_a[lo:hi], b[first_b[lo] : first_b[hi]], n_b[lo:hi])
+            for lo, hi in zip(edges, edges[1:])
+        ]
+        n_groups, n_links, groups, links = map(chain.from_iterable, zip(*parts)) if parts else ([], [], [], [])
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(n_a),
-                pa.array(n_b),
-                pa.array(np.bincount(owner, n_groups, len(texts)).astype(np.int64)),
-                pa.array(n_links),
-                pa.array(groups, pa.string()),
-                pa.array(packed, pa.binary()),
+                pa.array(n_a, pa.int64()),
+                pa.array(n_b, pa.int64()),
+                pa.array(list(n_groups), pa.int64()),
+                pa.array(list(n_links), pa.int64()),
+                pa.array(list(groups), pa.string()),
+                pa.array(list(links), pa.binary()),
             ],
             names=["n_a", "n_b", "n_groups", "n_links", "groups", "links"],
         )
 
+    def _align(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple[list[int], list[int], list[str], list[bytes]]:
+        """n_groups, n_links, groups as text and packed links of texts that have `n_a` ids of `a` and `n_b` of `b`, one after another.
+
+        The texts are laid end to end, so every offset where tokens end closes one link, of the tokens that hold
+        the byte before it, and an offset where both end closes a group; the end of a text closes both.
+        """
+        of_a, of_b = self.tokenizers.of_a, self.tokenizers.of_b
+        n = len(n_a)
+        text_of = np.repeat(np.arange(n), n_a)
+        end_a, end_b = np.cumsum(of_a.length[a]), np.cumsum(of_b.length[b])
+        shared = shared_values(end_a, end_b)
+        # Tokens up to the end of each group, and inside it.
+        upto_a, upto_b = np.searchsorted(end_a, shared, "right"), np.searchsorted(end_b, shared, "right")
+        size_a, size_b = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
+        n_groups = np.bincount(text_of[upto_a - 1], minlength=n)
+        sign_a, sign_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        sign_a[upto_a - 1] = 1
+        sign_b[upto_b - 1] = 2
+        sign_b[np.cumsum(n_b)[n_b > 0] - 1] = 3
+        # A group's ids of A stand after all ids of earlier groups, its ids of B after its own of A as well.
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.repeat(upto_b - size_b, size_a)] = a * np.int64(len(SIGNS)) + sign_a
+        order[np.arange(len(b)) + np.repeat(upto_a, size_b)] = b * np.int64(len(SIGNS)) + sign_b
+        at = pa.array(np.concatenate([[0], np.cumsum(n_a + n_b)]), pa.int64())
+        groups = pc.binary_join(pa.LargeListArray.from_arrays(at, self.tokenizers.written.take(pa.array(order))), "").to_pylist()
+
+        # Text, id of A and id of B in one number, far below 64 bits for vocabularies of up to a million.
+        bits_a, bits_b = (len(v.length).bit_length() for v in (of_a, of_b))
+        ends = merged(end_a, end_b)
+        at_a = np.searchsorted(end_a, ends)
+        n_links = np.bincount(text_of[at_a], minlength=n)
+        links = (text_of << bits_a | a)[at_a] << bits_b | b[np.searchsorted(end_b, ends)]
+        links.sort()
+        first = np.flatnonzero(np.append(True, links[1:] != links[:-1])[: len(links)])
+        times = np.diff(first, append=len(links))
+        links = links[first]
+        cuts = np.searchsorted(links, np.arange(n + 1) << (bits_a + bits_b)).tolist()
+        codes = (links >> bits_b & ((1 << bits_a) - 1)) << 32 | links & ((1 << bits_b) - 1)
+        packed = [pack(codes[lo:hi], times[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
+        return n_groups.tolist(), n_links.tolist(), groups, packed
+
 
 def pack(codes: np.ndarray, times: np.ndarray) -> bytes:
     """Ascending codes and how often each occurs, as differences in byte planes, which compress well."""

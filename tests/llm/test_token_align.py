@@ -118,3 +118,25 @@ def test_links_pack_and_unpack():
     rows = [(np.array([3, 9, 1 << 47]), np.array([1, 2, 70_000])), (np.zeros(0, np.int64), np.zeros(0, np.int64)), (np.array([5]), np.array([4]))]
     owner, codes, times = ta.unpack(pa.array([ta.pack(c, t) for c, t in rows], pa.binary()))
     assert (owner.tolist(), codes.tolist(), times.tolist()) == ([0, 0, 0, 2], [3, 9, 1 << 47, 5], [1, 2, 70_000, 4])
+
+
+def test_texts_that_never_repeat_are_aligned_on_arrays(tokenizers):
+    """Every window of such texts is new, so nothing is gained by remembering any; Python steps per token or word would show."""
+    import sys
+
+    rng = random.Random(11)
+    part = [" ".join("".join(rng.choice("etaoinshrdlu") for _ in range(9)) for _ in range(400)) for _ in range(20)]
+    aligner, steps = ta.Aligner(tokenizers), 0
+
+    def traced(frame, event, _):
+        nonlocal steps
+        steps += event == "line"
+        return traced if frame.f_code.co_filename == ta.__file__ else None
+
+    sys.settrace(traced)
+    try:
+        got = aligner.align(part)
+    finally:
+        sys.settrace(None)
+    assert steps < 8_000
+    assert [tuple(r.values())[:5] for r in got.to_pylist()] == [(*r[1:5], r[5]) for r in brute(list(enumerate(part)), tokenizers)]
