@@ -98,11 +98,15 @@ def predictions_report(
     code: str = "code",
     p: str = "p",
 ) -> DataFrame:
-    """One row per document: its best class and one probability column per class."""
-    wide = scores.groupBy(doc).pivot(code, list(classes)).agg(F.sum(p))
-    wide = wide.select(doc, *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"p_{c}") for c in classes])
-    top = best_class(scores, doc, code, p).select(doc, F.col(code).alias("top_class"))
-    return top.join(wide, doc)
+    """One row per document: its best class (as `best_class`) and one probability column per class; null documents go.
+
+    All of it is one aggregate. The best row is a struct, so Spark aggregates rows sorted by document one
+    document after another and holds no table of them; rows of `normalize_scores` come sorted already.
+    """
+    least = F.min(F.struct(F.col(p).isNull(), ~F.isnan(p), (-F.col(p)).alias("less"), F.col(code).alias("top_class")))
+    sums = [F.coalesce(F.sum(F.when(F.col(code) == c, F.col(p))), F.lit(0.0)).alias(f"p_{c}") for c in classes]
+    report = scores.where(F.col(doc).isNotNull()).groupBy(doc).agg(least.alias("__best"), *sums)
+    return report.select(doc, F.col("__best")["top_class"].alias("top_class"), *[f"`p_{c}`" for c in classes])
 
 
 def class_list(df: DataFrame, column: str, limit: int = 4096) -> list[str]:
