@@ -109,3 +109,23 @@ def test_stream_matches_like_a_batch(spark, tmp_path, rows):
     )
     got = spark.read.parquet(str(tmp_path / "out")).select("post_id", "code")
     assert rows(got) == [(1, "1"), (3, "2")]
+
+
+def test_zipped_texts_leave_in_batches_of_bounded_size(spark, tmp_path, rows):
+    """A batch ends by its characters too, so long texts don't pile up in a task."""
+    lines = ["id\ttext", *[f"{i}\t{'word ' * 200}{i}" for i in range(40)]]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("x.tsv", "\n".join(lines) + "\n")
+    (tmp_path / "a.zip").write_bytes(packed.getvalue())
+    read = readers.read_zipped_tsv(spark, str(tmp_path), batch_chars=2_500)
+    assert "MapInArrow" in read._jdf.queryExecution().executedPlan().toString()
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    assert sum(r["n"] for r in read.mapInArrow(sizes, "n long").collect()) == 40
+    assert rows(read) == sorted((str(i), f"{'word ' * 200}{i}") for i in range(40))
