@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,45 +40,93 @@ def _merge(parts: list[str], a: str, b: str) -> list[str]:
     return merged
 
 
+def _found(parts: pa.ListArray, pairs: Iterable[Pair]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(pieces of all words, the word of each, whether it and the next piece of its word are one of the pairs)."""
+    flat = parts.flatten()
+    word = np.repeat(np.arange(len(parts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+    hit = np.zeros(len(flat), bool)
+    coded = flat.dictionary_encode()
+    at = {piece: i for i, piece in enumerate(coded.dictionary.to_pylist())}
+    wanted = np.array(sorted(at[a] * len(at) + at[b] for a, b in pairs if a in at and b in at), np.int64)
+    if len(wanted):
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        code = code[:-1] * len(at) + code[1:]
+        same = wanted[np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)] == code
+        hit[:-1] = same & (word[1:] == word[:-1])
+    return flat, word, hit
+
+
 def _runs(table: DataFrame, known: set[Pair]) -> DataFrame:
     """Distinct longest stretches of words whose neighbouring pieces are all known pairs."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple, int] = defaultdict(int)
-            for parts, n in zip(batch["parts"].to_pylist(), batch["n"].to_pylist()):
-                run = parts[:1]
-                for a, b in zip(parts, parts[1:]):
-                    if (a, b) not in known:
-                        if len(run) > 1:
-                            found[tuple(run)] += n
-                        run = []
-                    run.append(b)
-                if len(run) > 1:
-                    found[tuple(run)] += n
-            yield pa.RecordBatch.from_pydict({"parts": list(found), "n": list(found.values())}, ARROW_TABLE)
+            flat, word, hit = _found(batch["parts"], known)
+            behind = np.append(False, hit)[: len(hit)]
+            first, last = np.flatnonzero(hit & ~behind), np.flatnonzero(behind & ~hit)
+            ends = np.append(0, np.cumsum(last - first + 1))
+            inside = np.arange(ends[-1]) + np.repeat(first - ends[:-1], np.diff(ends))
+            runs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.take(pa.array(inside)))
+            yield pa.RecordBatch.from_arrays([runs, batch["n"].take(pa.array(word[first]))], schema=ARROW_TABLE)
 
     return table.mapInArrow(cut, TABLE).groupBy("parts").agg(F.sum("n").alias("n"))
 
 
-def _apply(table: DataFrame, merges: list[Pair]) -> DataFrame:
-    """Words after the merges, each done once and in order."""
-    ranks = {pair: i for i, pair in enumerate(merges)}
-    last = len(merges)
+class _Merges:
+    """Merges as sorted pairs of codes, to be done on many words at once."""
+
+    def __init__(self, merges: list[Pair]) -> None:
+        ranks = {pair: i for i, pair in enumerate(merges)}
+        names = list(dict.fromkeys(x for a, b in ranks for x in (a, b, a + b)))
+        at = {name: i for i, name in enumerate(names)}
+        self.names, self.last = pa.array(names, pa.string()), len(merges)
+        self.base = len(names) + 1  # the code of all other pieces is one less
+        pairs = np.array([at[a] * self.base + at[b] for a, b in ranks], np.int64)
+        order = np.argsort(pairs)
+        self.pairs, self.rank = pairs[order], np.array(list(ranks.values()), np.int64)[order]
+        self.piece = np.zeros(self.last, np.int64)
+        self.piece[self.rank] = np.array([at[a + b] for a, b in ranks], np.int64)[order]
+
+    def apply(self, parts: pa.ListArray) -> pa.ListArray:
+        """The words with, step by step, all places of each word's first merge merged from left to right."""
+        flat = parts.flatten()
+        code = pc.fill_null(pc.index_in(flat, self.names), self.base - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+        word = np.repeat(np.arange(len(parts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+        origin = np.arange(len(flat))
+        done = [(word[:0], code[:0], origin[:0])]
+        while len(code):
+            pair = code[:-1] * self.base + code[1:]
+            place = np.minimum(np.searchsorted(self.pairs, pair), self.last - 1)
+            good = (self.pairs[place] == pair) & (word[1:] == word[:-1])
+            rank = np.append(np.where(good, self.rank[place], self.last), self.last)
+            start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            least = np.repeat(np.minimum.reduceat(rank, start), np.diff(start, append=len(word)))
+            ready, left = least == self.last, least < self.last
+            done.append((word[ready], code[ready], origin[ready]))
+            word, code, origin, rank, least = word[left], code[left], origin[left], rank[left], least[left]
+            hit = np.flatnonzero(rank == least)
+            # Neighbouring hits are one piece repeated: every other one is merged.
+            index = np.arange(len(hit))
+            since = np.maximum.accumulate(np.where(np.diff(hit, prepend=-2) > 1, index, 0))
+            hit = hit[(index - since) % 2 == 0]
+            code[hit] = self.piece[rank[hit]]
+            word, code, origin = (np.delete(x, hit + 1) for x in (word, code, origin))
+        word, code, origin = map(np.concatenate, zip(*done))
+        order = np.argsort(word, kind="stable")
+        at = np.where(code < self.base - 1, code, self.base - 1 + origin)[order]
+        ends = np.append(0, np.cumsum(np.bincount(word, minlength=len(parts))))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays([self.names, flat]).take(pa.array(at)))
 
-    def after(parts: list[str]) -> list[str]:
-        while True:
-            first = min((ranks.get(pair, last) for pair in zip(parts, parts[1:])), default=last)
-            if first == last:
-                return parts
-            parts = _merge(parts, *merges[first])
+
+def _apply(table: DataFrame, merges: list[Pair]) -> DataFrame:
+    """Words after the merges, each done once and in order; words that are one piece by then have no pairs and go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        them = _Merges(merges)
         for batch in batches:
-            merged = [after(parts) for parts in batch["parts"].to_pylist()]
-            yield pa.RecordBatch.from_pydict({"parts": merged, "n": batch["n"]}, ARROW_TABLE)
+            yield pa.RecordBatch.from_arrays([them.apply(batch["parts"]), batch["n"]], schema=ARROW_TABLE)
 
-    return table.mapInArrow(run, TABLE)
+    return table.mapInArrow(run, TABLE).where(F.size("parts") > 1)
 
 
 def _learn(runs: list, unknown: int, min_count: int, room: int) -> list[tuple[str, str, int]]:
