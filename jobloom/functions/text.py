@@ -1,12 +1,15 @@
-"""Text expressions. All of them are native Spark expressions."""
+"""Text expressions. All but `cleaner`, which cuts whole batches, are native Spark expressions."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from jobloom.functions.clean_text import UNSURE, clean_batch
+
 TextProcessor = Callable[[Column], Column]
 Tokenizer = Callable[[Column], Column]
 
@@ -108,21 +111,34 @@ def plain_words(text: Column) -> Column:
     return collapse_whitespace(F.regexp_replace(bare, r"[^\p{L}\p{N}\s]", " "))
 
 
+def _cleaned(bare: Column, min_tokens: int) -> Column:
+    parts = F.transform(
+        F.split(F.regexp_replace(bare, MARKUP, " "), CLEAN_BREAK),
+        lambda s: collapse_whitespace(F.regexp_replace(s, r"[^\p{L}\p{N}\s]", " ")),
+    )
+    kept = F.filter(parts, lambda s: (s != "") & (F.size(F.split(s, " ")) >= min_tokens))
+    return F.nullif(F.array_join(kept, "\t"), F.lit(""))
+
+
 def cleaner(min_tokens: int = 4) -> TextProcessor:
     """Text to TAB-separated clean sentences of at least `min_tokens` words, null if none is left.
 
     The rule is this library's own: lower-case, tags removed, sentences end at `.`, `!` or `?`
     followed by whitespace or at a line break, punctuation becomes a space.
+
+    Texts are cut batch by batch on their bytes. Only those with characters whose class depends on the
+    version of Unicode go through regular expressions, so that Spark's classes decide.
     """
 
+    def batch(texts: pa.Array) -> pa.Array:
+        return clean_batch(texts, min_tokens)
+
+    quick = F.arrow_udf(batch, "string")
+
     def clean(text: Column) -> Column:
-        bare = F.regexp_replace(F.lower(text), MARKUP, " ")
-        parts = F.transform(
-            F.split(bare, CLEAN_BREAK),
-            lambda s: collapse_whitespace(F.regexp_replace(s, r"[^\p{L}\p{N}\s]", " ")),
-        )
-        kept = F.filter(parts, lambda s: (s != "") & (F.size(F.split(s, " ")) >= min_tokens))
-        return F.nullif(F.array_join(kept, "\t"), F.lit(""))
+        bare = F.lower(text)
+        done = quick(bare)
+        return F.when(done == UNSURE, _cleaned(bare, min_tokens)).otherwise(done)
 
     return clean
 
