@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.operators.neighbors import collapse_copies, copies_of, pairs_within
 from jobloom.operators.ranking import first_per_group
+from jobloom.session import cut_lineage, workspace
 
 Clusterer = Callable[..., DataFrame]  # (items, row_id, vec, **options) -> (row_id, cluster)
 
 # Concentration above which a group is flagged, and the affinity's steepness.
 HIGH_CONCENTRATION = 0.7
 AFFINITY_SCALE = 3.0
+KMEANS_ROWS = 1 << 20
+SUM_NUMBERS = 1 << 16  # numbers of a partial sum that travel together
 
 
 def concentration(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -111,23 +117,76 @@ def spectral_clusters(
 ) -> DataFrame:
     """Power-iteration clustering on the affinities `exp(-scale · d²)` of the pairs in range.
 
-    Items without a partner in range get cluster -1; identical items share a cluster.
+    Items without a partner in range get cluster -1; identical items share a cluster. The pairs are stored once, as
+    arrays, and each step is a sum over them in tasks; only one number per item reaches the driver and the tasks.
     """
-    from pyspark.ml.clustering import PowerIterationClustering
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
 
-    edges = pairs_within(items, row_id, [vec], max_distance).select(
-        F.col("i").cast("bigint").alias("src"),
-        F.col("j").cast("bigint").alias("dst"),
-        F.exp(-scale * F.col("d") * F.col("d")).alias("affinity"),
-    )
-    model = PowerIterationClustering(
-        k=n_clusters, maxIter=iterations, initMode="degree", srcCol="src", dstCol="dst", weightCol="affinity"
-    )
-    found = model.assignClusters(edges).select(F.col("id").alias("rep_id"), "cluster")
-    points = collapse_copies(items, row_id, [vec])
+    spark = items.sparkSession
+    points = cut_lineage(collapse_copies(items, row_id, [vec]))
+    ids = np.sort(points.select(F.col(row_id).cast("bigint").alias("id")).dropna().toPandas()["id"].to_numpy(dtype="int64"))
+    near = pairs_within(items, row_id, [vec], max_distance).select(F.col("i").cast("bigint"), F.col("j").cast("bigint"), "d")
+    known = spark.sparkContext.broadcast(ids)
+
+    def as_arrays(batches):
+        for batch in batches:
+            i, j = (np.searchsorted(known.value, batch.column(k).to_numpy()).astype("int32") for k in range(2))
+            d = batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_pydict({"i": [i.tobytes()], "j": [j.tobytes()], "a": [np.exp(-scale * d * d).tobytes()]})
+
+    path = workspace(spark, "affinities")
+    near.mapInArrow(as_arrays, "i binary, j binary, a binary").write.parquet(path)
+    stored = spark.read.schema("i binary, j binary, a binary").parquet(path).coalesce(spark.sparkContext.defaultParallelism)
+
+    def product(x: np.ndarray) -> np.ndarray:
+        """The symmetric matrix of affinities times `x`."""
+        shared = spark.sparkContext.broadcast(x)
+
+        def add(batches):
+            v, total = shared.value, np.zeros(len(x))
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    i, j, w = (np.frombuffer(batch.column(k)[row].as_buffer(), t) for k, t in enumerate(("int32", "int32", "float64")))
+                    total += np.bincount(i, w * v[j], len(v)) + np.bincount(j, w * v[i], len(v))
+            for s in range(0, len(v), SUM_NUMBERS):
+                yield pa.RecordBatch.from_pydict({"start": [s], "part": [total[s : s + SUM_NUMBERS].tobytes()]})
+
+        def merge(key, table):
+            parts = [np.frombuffer(p.as_buffer(), "float64") for p in table.column("part")]
+            return pa.table({"start": [key[0].as_py()], "part": [np.sum(parts, axis=0).tobytes()]})
+
+        sums = stored.mapInArrow(add, "start long, part binary").groupBy("start").applyInArrow(merge, "start long, part binary")
+        out = np.zeros(len(x))
+        for r in sums.collect():
+            part = np.frombuffer(r["part"], "float64")
+            out[r["start"] : r["start"] + len(part)] = part
+        shared.unpersist()
+        return out
+
+    degree = product(np.ones(len(ids)))
+    linked = degree > 0
+    before = degree / max(degree.sum(), np.finfo(float).tiny)
+    tolerance, last = max(1e-5 / max(linked.sum(), 1), 1e-8), np.inf
+    for _ in range(iterations if linked.any() else 0):
+        now = np.where(linked, product(before) / np.where(linked, degree, 1.0), 0.0)
+        now /= np.abs(now).sum()
+        moved = np.abs(now - before).sum()
+        settled, last, before = abs(moved - last) <= tolerance, moved, now
+        if settled:
+            break
+    placed = spark.createDataFrame(pd.DataFrame({"rep_id": ids[linked], "v": before[linked]}), "rep_id long, v double")
+    # Its partitions decide where k-means starts: they follow from the items alone.
+    placed = placed.coalesce(-(-max(len(ids), 1) // KMEANS_ROWS))
+    if linked.any():
+        placed = placed.withColumn("features", array_to_vector(F.array("v")))
+        model = KMeans(k=n_clusters, seed=0).fit(placed)
+        placed = model.transform(placed).withColumnRenamed("prediction", "cluster")
+    else:
+        placed = placed.withColumn("cluster", F.lit(-1))
     return (
         copies_of(items, points, row_id, [vec])
-        .join(found, "rep_id", "left")
+        .join(placed.select("rep_id", "cluster"), "rep_id", "left")
         .select(row_id, F.coalesce("cluster", F.lit(-1)).alias("cluster"))
     )
 
